@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import lines, packing, quantiles, sentences, split, tokens
+from millrace.llm import lines, neardup, packing, quantiles, sentences, split, tokens
 from millrace.runtime import materialize, ship, table
 
 _DOCUMENT, _CHUNK = (2000, 16_000), (400, 3200)
@@ -48,6 +48,15 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.read_off(both, _SHARES)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    links = neardup.near_duplicates(table(spark, d, "records"), "record_id", "content")
+    return neardup.record_pairs(links).withColumnsRenamed({"a": "record_a", "b": "record_b"})
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.record_groups(neardup.near_duplicates(table(spark, d, "records"), "record_id", "content"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -65,7 +74,7 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
-_ALL = [p1_found, p1_clean, p2_found, p2_pieces, p3_percentiles, p8_ids, p9_containers, p10_found, p10_sentences]
+_ALL = [p1_found, p1_clean, p2_found, p2_pieces, p3_percentiles, p5_found, p5_groups, p8_ids, p9_containers, p10_found, p10_sentences]
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -98,4 +107,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'documents' AS tbl, doc_id AS row_id FROM (SELECT doc_id, text AS t FROM documents) WHERE {words} > 2000 OR length(t) > 16000
             UNION ALL
             SELECT 'chunks', chunk_id FROM (SELECT chunk_id, content AS t FROM chunks) WHERE {words} > 400 OR length(t) > 3200""",
+        "p5_found": """
+            WITH w AS (SELECT record_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM records),
+            s AS (SELECT DISTINCT record_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w),
+            n AS (SELECT record_id, count(*) AS n FROM s GROUP BY record_id),
+            p AS (SELECT a.record_id AS a, b.record_id AS b, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.record_id < b.record_id GROUP BY 1, 2)
+            SELECT a AS record_a, b AS record_b FROM p JOIN n x ON x.record_id = a JOIN n y ON y.record_id = b
+            WHERE 4 * m >= 3 * (x.n + y.n - m)""",
     }
