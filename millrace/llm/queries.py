@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import lines, neardup, packing, quantiles, sentences, split, tokens
+from millrace.llm import body, language, lines, neardup, packing, quantiles, sentences, split, tokens
 from millrace.runtime import materialize, ship, table
 
 _DOCUMENT, _CHUNK = (2000, 16_000), (400, 3200)
@@ -57,6 +57,42 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.record_groups(neardup.near_duplicates(table(spark, d, "records"), "record_id", "content"))
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return body.main_bodies(table(spark, d, "documents").where("source_type = 'web_page'"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("doc_id", F.explode("hidden").alias("line_no"))
+
+
+def p6_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("doc_id", "page_title", "body")
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    """tbl, row_id, lang as given, and what was detected, for every row of the three tables."""
+    scorer = language.fit(table(spark, d, "lang_samples"))
+    rows = None
+    for name, key, text, rest in (("documents", "doc_id", "text", None), ("records", "record_id", "content", "kind = 'prose'"), ("call_turns", "turn_id", "caller", None)):
+        part = table(spark, d, name).where(rest) if rest else table(spark, d, name)
+        part = part.select(F.lit(name).alias("tbl"), F.col(key).cast("string").alias("row_id"), F.col("lang"), F.col(text).alias("text"))
+        rows = part if rows is None else rows.unionByName(part)
+    keyed = rows.select(F.struct("tbl", "row_id", "lang").alias("key"), "text")
+    return language.languages(keyed, "key", "text", scorer).select("key.*", "detected", "confidence", "n_words", "present", "segments")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _languages(spark, d).where("detected IS NOT NULL AND (tbl <> 'call_turns' OR n_words >= 4)")
+    label = F.lower(F.trim(F.split("lang", "-")[0]))
+    wrong = F.col("lang").isNull() | label.isin("", "und") | (label != F.col("detected"))
+    shown = F.when(F.size("present") > 0, F.col("present")).otherwise(F.array("detected"))
+    return rows.where(wrong | (F.size("present") > 1)).select("tbl", "row_id", F.explode(shown).alias("lang")).distinct()
+
+
+def p7_languages(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).drop("n_words", "present").withColumnRenamed("lang", "given")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -74,7 +110,7 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
-_ALL = [p1_found, p1_clean, p2_found, p2_pieces, p3_percentiles, p5_found, p5_groups, p8_ids, p9_containers, p10_found, p10_sentences]
+_ALL = [p1_found, p1_clean, p2_found, p2_pieces, p3_percentiles, p5_found, p5_groups, p6_found, p6_bodies, p7_found, p7_languages, p8_ids, p9_containers, p10_found, p10_sentences]
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
