@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import body, language, lines, neardup, packing, quantiles, sentences, split, tokens
+from millrace.llm import body, language, lines, neardup, packing, pii, quantiles, sentences, split, tokens
 from millrace.runtime import materialize, ship, table
 
 _DOCUMENT, _CHUNK = (2000, 16_000), (400, 3200)
@@ -48,6 +48,24 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.read_off(both, _SHARES)
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    """tbl, row_id, masked and items of every text that may hold personal data."""
+    rows = None
+    for name, key, text, field in (("records", "record_id", "content", False), ("call_turns", "turn_id", "caller", False), ("sample_leads", "lead_id", "phone", True)):
+        part = table(spark, d, name).select(F.struct(F.lit(name).alias("tbl"), F.col(key).alias("row_id")).alias("key"), F.col(text).alias("text"), F.lit(field).alias("field"))
+        rows = part if rows is None else rows.unionByName(part)
+    return pii.personal_data(rows, "key", "text", "field").select("key.*", "masked", "items")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    items = _personal(spark, d).select("tbl", "row_id", F.explode("items").alias("i"))
+    return items.select("tbl", "row_id", "i.kind", "i.value").distinct()
+
+
+def p4_masked(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).select("tbl", "row_id", F.col("masked").alias("text"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     links = neardup.near_duplicates(table(spark, d, "records"), "record_id", "content")
     return neardup.record_pairs(links).withColumnsRenamed({"a": "record_a", "b": "record_b"})
@@ -110,7 +128,7 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
-_ALL = [p1_found, p1_clean, p2_found, p2_pieces, p3_percentiles, p5_found, p5_groups, p6_found, p6_bodies, p7_found, p7_languages, p8_ids, p9_containers, p10_found, p10_sentences]
+_ALL = [p1_found, p1_clean, p2_found, p2_pieces, p3_percentiles, p4_found, p4_masked, p5_found, p5_groups, p6_found, p6_bodies, p7_found, p7_languages, p8_ids, p9_containers, p10_found, p10_sentences]
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
