@@ -1,24 +1,520 @@
-"""All queries of the core, with their SQL."""
+"""All queries of the core over the test tables, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.runtime import table
+from millrace.functions import fixed, text
+from millrace.operators import chunk, clean, conversation, dedupe, evaluation, normalize, privacy, quality, records, retrieval, telemetry
+from millrace.plans import pipeline, star
+from millrace.runtime import materialize, ship, table
+from millrace.sources import files
+from millrace.streaming import signals
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("raw"))
-    lines = lines.select("doc_id", F.trim(F.lower("raw")).alias("line")).where("line <> ''").distinct()
-    return lines.groupBy("line").agg(F.count("*").alias("docs")).where("docs >= 3")
+# SQL twins of the text functions
+_B = text.SPACE
+_q = lambda s: "'" + s.replace("'", "''") + "'"
+_words = lambda t: f"list_filter(regexp_split_to_array(coalesce({t}, ''), '{_B}'), lambda w: w <> '')"
+_strip = lambda t: f"regexp_replace({t}, '^{_B}|{_B}$', '', 'g')"
+_plain = lambda t: f"regexp_replace(coalesce({t}, ''), '\\r\\n?', chr(10), 'g')"
+_lines = lambda t: f"(CASE WHEN {_plain(t)} = '' THEN []::VARCHAR[] ELSE string_split(regexp_replace({_plain(t)}, '\\n$', ''), chr(10)) END)"
+_canonical = lambda t: f"trim(regexp_replace(regexp_replace(lower(coalesce({t}, '')), '{_B}', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'))"
+_any = lambda t, phrases: "(" + " OR ".join(f"contains({t}, {_q(p)})" for p in phrases) + ")"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"repeated_lines": repeated_lines}
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            ship(spark)
+            return function(spark, d)
+
+        _QUERIES[function.__name__] = run
+        if sql:
+            _SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+# ---------------------------------------------------------------- text and quality
+
+
+@_query(f"SELECT source, count(*) AS docs, CAST(sum(len({_words('text')})) AS BIGINT) AS words, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM documents GROUP BY source")
+def word_stats(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("docs"), F.sum(text.word_count(F.col("text"))).alias("words"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+
+
+_OWN = f"SELECT doc_id, unnest(list_distinct(list_filter(list_transform({_lines('text')}, lambda l: {_strip('l')}), lambda l: l <> '' AND len({_words('l')}) <= 12))) AS line FROM documents"
+_REPEATED = f"SELECT line, count(*) AS docs FROM ({_OWN}) GROUP BY line HAVING count(*) >= 3"
+
+
+@_query(_REPEATED)
+def repeated_lines(spark, d):
+    return clean.repeated_lines(table(spark, d, "documents"), "doc_id", "text")
+
+
+@_query(
+    f"""WITH r AS ({_REPEATED}), l AS (SELECT doc_id, unnest({_lines('text')}) AS line, generate_subscripts({_lines('text')}, 1) AS n FROM documents),
+    k AS (SELECT * FROM l WHERE {_strip('line')} NOT IN (SELECT line FROM r)),
+    t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS t FROM k GROUP BY doc_id)
+    SELECT documents.doc_id, sha256(coalesce(t, '')) AS digest FROM documents LEFT JOIN t ON t.doc_id = documents.doc_id"""
+)
+def trimmed_documents(spark, d):
+    documents = table(spark, d, "documents")
+    trimmed = clean.trim_repeated(documents, "doc_id", "text", materialize(clean.repeated_lines(documents, "doc_id", "text")))
+    return trimmed.select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+_NONBLANK = f"list_filter(list_transform({_lines('text')}, lambda l: lower({_strip('l')})), lambda l: l <> '')"
+_CHROME = f"list_filter({_NONBLANK}, lambda l: len({_words('l')}) <= 6 AND {_any('l', fixed.CHROME_PHRASES)})"
+_RATIO = f"CASE WHEN len({_NONBLANK}) = 0 THEN 1.0 ELSE len({_CHROME}) / len({_NONBLANK}) END"
+
+
+@_query(f"SELECT doc_id, round(CAST({_RATIO} AS DOUBLE), 6) AS ratio FROM documents")
+def chrome_ratio(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(quality.chrome_ratio(F.col("text")), 6).alias("ratio"))
+
+
+_MARKER = f"list_filter([{', '.join(map(_q, fixed.ERROR_MARKERS))}], lambda m: contains(lower(substr(coalesce(text, ''), 1, 2000)), m))[1]"
+_REASON = f"""CASE WHEN {_strip("coalesce(text, '')")} = '' THEN 'empty' WHEN {_MARKER} IS NOT NULL THEN 'error page: ' || {_MARKER}
+    WHEN len({_words('text')}) < 150 THEN 'only ' || len({_words('text')}) || ' words' WHEN {_RATIO} > 0.5 THEN 'mostly navigation' END"""
+
+
+@_query(f"SELECT doc_id, {_REASON} AS reason FROM documents")
+def usability_gate(spark, d):
+    return table(spark, d, "documents").select("doc_id", quality.usability(F.col("text")).alias("reason"))
+
+
+_IS_CHROME = f"""(NOT starts_with({_strip('l')}, '|') AND (regexp_matches({_strip('l')}, {_q('|'.join(f'(?:{p})' for p in fixed.DROP_LINES))})
+    OR (len({_words('l')}) <= 5 AND {_any(f"lower({_strip('l')})", fixed.CHROME_PHRASES)})))"""
+
+
+@_query(f"SELECT doc_id, CAST(len(list_filter({_lines('text')}, lambda l: {_IS_CHROME})) AS INTEGER) AS chrome FROM documents")
+def chrome_lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(F.filter(text.lines(F.col("text")), lambda line: clean.is_chrome(line))).alias("chrome"))
+
+
+@_query(
+    f"""WITH l AS (SELECT doc_id, {_lines('text')} AS l FROM documents)
+    SELECT doc_id, CAST(len(list_filter(l, lambda x, i: i = 1 OR lower({_strip('x')}) <> lower({_strip('l[i - 1]')}))) AS INTEGER) AS kept FROM l"""
+)
+def collapse_repeats(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(clean.collapse_repeats(text.lines(F.col("text")))).alias("kept"))
+
+
+@_query(
+    f"""WITH l AS (SELECT doc_id, unnest({_lines('text')}) AS l, generate_subscripts({_lines('text')}, 1) AS n FROM documents),
+    m AS (SELECT doc_id, n, {_strip('l')} <> '' AND NOT starts_with({_strip('l')}, '|') AND len({_words('l')}) <= 8 AND NOT regexp_matches({_strip('l')}, '[.!?:;]$') AS nav FROM l),
+    g AS (SELECT *, sum(CASE WHEN nav THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM m),
+    c AS (SELECT *, sum(CASE WHEN nav THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, island) AS run FROM g)
+    SELECT documents.doc_id, count(CASE WHEN c.doc_id IS NOT NULL AND (NOT nav OR run < 3) THEN 1 END) AS kept FROM documents LEFT JOIN c ON c.doc_id = documents.doc_id GROUP BY documents.doc_id"""
+)
+def nav_runs(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(clean.drop_nav_runs(text.lines(F.col("text")))).cast("bigint").alias("kept"))
+
+
+@_query()
+def clean_documents(spark, d):
+    return clean.clean_documents(table(spark, d, "documents").select("doc_id", "text", "source_type")).drop("text")
+
+
+_N = "length(b) - length(regexp_replace(b, '[0-9%.,:;|/()\\[\\]-]', '', 'g'))"
+
+
+@_query(
+    f"""WITH r AS (SELECT record_id, {_strip("coalesce(content, '')")} AS b, len({_words('content')}) AS n FROM records WHERE kind = 'prose'),
+    c AS (SELECT *, len(regexp_extract_all(b, {_q(fixed.CITATION)})) AS marks FROM r)
+    SELECT record_id, CASE WHEN b = '' THEN false WHEN len(regexp_extract_all(b, '\\.{{4,}}')) >= 2 THEN false WHEN marks >= 3 AND marks / greatest(n, 1) > 0.02 THEN false
+    WHEN n >= 10 THEN true WHEN ({_N}) / length(b) > 0.4 THEN false ELSE len(list_filter({_words('b')}, lambda w: length(w) >= 4 AND regexp_matches(w, '^\\p{{L}}+$'))) >= 3 END AS answerable FROM c"""
+)
+def answerability(spark, d):
+    return table(spark, d, "records").where("kind = 'prose'").select("record_id", quality.answerable(F.col("content")).alias("answerable"))
+
+
+_GUARD = rf"regexp_replace(coalesce(content, ''), '\b({'|'.join(a.replace('.', chr(92) + '.') for a in fixed.ABBREVIATIONS)})\.', '\1' || chr(1), 'g')"
+
+
+@_query(rf"SELECT record_id, CAST(len(list_filter(string_split(regexp_replace({_GUARD}, '([.!?])\s+', '\1' || chr(2), 'g'), chr(2)), lambda s: trim(s) <> '')) AS INTEGER) AS sentences FROM records")
+def sentence_split(spark, d):
+    return table(spark, d, "records").select("record_id", F.size(text.sentences(F.coalesce("content", F.lit("")))).alias("sentences"))
+
+
+@_query("SELECT doc_id, regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:www\\.)?([^/:?#]+)', 1) AS host FROM documents")
+def hosts(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.host(F.col("url")).alias("host"))
+
+
+# ---------------------------------------------------------------- duplicates and statements
+
+
+@_query(
+    f"""WITH m AS (SELECT doc_id AS id, sha256({_canonical('text')}) AS p, length(coalesce(text, '')) AS n FROM documents),
+    f AS (SELECT *, first_value(id) OVER (PARTITION BY p ORDER BY n DESC, id) AS kept FROM m)
+    SELECT kept, id AS dropped FROM f WHERE id <> kept"""
+)
+def exact_duplicates(spark, d):
+    return dedupe.exact_duplicates(table(spark, d, "documents"), "doc_id", "text")
+
+
+@_query(
+    f"""WITH m AS (SELECT record_id AS id, string_split({_canonical('content')}, ' ') AS raw, sha256({_canonical('content')}) AS p, length(coalesce(content, '')) AS n FROM records),
+    o AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY n DESC, id) AS k, list_filter(raw, lambda w: w <> '') AS w FROM m),
+    s AS (SELECT id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+          ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s FROM o WHERE k = 1),
+    c AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+    p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2)
+    SELECT a, b, CAST(shared AS INTEGER) AS shared, CAST(u.n + v.n - shared AS INTEGER) AS either FROM p JOIN c u ON u.id = a JOIN c v ON v.id = b WHERE shared * 20 >= (u.n + v.n - shared) * 17"""
+)
+def shingle_pairs(spark, d):
+    rows = table(spark, d, "records").select("record_id", "content")
+    gone = dedupe.exact_duplicates(rows, "record_id", "content").select(F.col("dropped").alias("record_id"))
+    return dedupe.similar_pairs(materialize(rows.join(gone, "record_id", "left_anti")), "record_id", "content")
+
+
+@_query()
+def near_duplicates(spark, d):
+    return dedupe.near_duplicates(table(spark, d, "records").select("record_id", "content"), "record_id", "content")
+
+
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id AS id, {_q(topic)} AS topic, unnest(regexp_extract_all(text, {_q(p)}, 1)) AS n, unnest(regexp_extract_all(text, {_q(p)}, 2)) AS u FROM documents" for topic, p in fixed.TOPICS.items()
+)
+
+
+@_query(
+    f"""WITH f AS (SELECT DISTINCT id, topic, trim(replace(n, ',', '') || ' ' || CASE WHEN u <> '' THEN lower(u) || 's' ELSE '' END) AS value FROM ({_FOUND})),
+    c AS (SELECT topic, value, count(*) AS documents FROM f GROUP BY ALL)
+    SELECT * FROM c WHERE topic IN (SELECT topic FROM c GROUP BY topic HAVING count(*) > 1)"""
+)
+def contradictions(spark, d):
+    return dedupe.contradictions(table(spark, d, "documents"), "doc_id", "text")
+
+
+# ---------------------------------------------------------------- personal data and normal forms
+
+_MASKED, _COUNTS = "coalesce(content, '')", []
+for _kind, _pattern in fixed.SHAPES:
+    _COUNTS.append(f"len(regexp_extract_all({_MASKED}, {_q(_pattern)}))")
+    _MASKED = f"regexp_replace({_MASKED}, {_q(_pattern)}, '[{_kind}_REDACTED]', 'g')"
+
+
+@_query(f"SELECT record_id, sha256({_MASKED}) AS digest, CAST({' + '.join(_COUNTS)} AS INTEGER) AS found FROM records")
+def pii_shapes(spark, d):
+    rows = table(spark, d, "records").select("record_id", F.coalesce("content", F.lit("")).alias("content"))
+    scanned = privacy.scan(rows, "content", privacy.passes(cued=())[:-1])
+    return scanned.select("record_id", F.sha2("masked", 256).alias("digest"), "found")
+
+
+@_query()
+def pii_scan(spark, d):
+    return privacy.scan(table(spark, d, "records").select("record_id", "content"), "content").select("record_id", "masked", "findings", "found", "quarantined")
+
+
+@_query("SELECT t AS kind, count(*) AS records FROM (SELECT unnest(pii_types) AS t FROM records) GROUP BY t")
+def pii_kinds(spark, d):
+    return table(spark, d, "records").select(F.explode("pii_types").alias("kind")).groupBy("kind").agg(F.count("*").alias("records"))
+
+
+@_query()
+def normalized_records(spark, d):
+    return table(spark, d, "records").select("record_id", normalize.normalize(F.col("content")).alias("content"))
+
+
+@_query()
+def term_changes(spark, d):
+    counted = table(spark, d, "records").select(F.explode(normalize.term_counts(F.coalesce("content", F.lit("")))).alias("change", "n"))
+    return counted.groupBy("change").agg(F.sum("n").alias("times"))
+
+
+# ---------------------------------------------------------------- chunks and records
+
+
+@_query()
+def chunk_documents(spark, d):
+    return chunk.chunk_documents(table(spark, d, "documents"))
+
+
+def _score(name: str, words: tuple[str, ...]) -> str:
+    hits = lambda where: f"len(list_filter([{', '.join(map(_q, words))}], lambda w: contains({where}, w)))"
+    return f"3 * {hits('h')} + {hits('b')} + CASE WHEN hint = '{name}' THEN 2 ELSE 0 END"
+
+
+@_query(
+    f"""WITH r AS (SELECT record_id, lower(coalesce(section_path, '')) AS h, lower(substr(coalesce(content, ''), 1, 600)) AS b, coalesce(category, '') AS hint FROM records),
+    s AS (SELECT record_id, hint, [{', '.join(_score(n, w) for n, w in fixed.CATEGORIES.items())}] AS s, [{', '.join(map(_q, fixed.CATEGORIES))}] AS names FROM r),
+    m AS (SELECT *, list_max(s) AS best FROM s), w AS (SELECT *, list_filter(names, lambda n, i: s[i] = best) AS winners FROM m)
+    SELECT record_id, CASE WHEN best = 0 AND NOT list_contains(names, hint) THEN 'product' WHEN best = 0 OR list_contains(winners, hint) THEN hint ELSE winners[1] END AS category FROM w"""
+)
+def categories(spark, d):
+    return table(spark, d, "records").select("record_id", records.category(F.col("section_path"), F.col("content"), F.col("category")).alias("category"))
+
+
+@_query("SELECT record_id, substr(sha256(content), 1, 16) AS checksum, coalesce(substr(sha256(content), 1, 16) <> checksum, true) AS stale FROM records")
+def stale_checksums(spark, d):
+    now = text.checksum(F.col("content"))
+    return table(spark, d, "records").select("record_id", now.alias("checksum"), F.coalesce(now != F.col("checksum"), F.lit(True)).alias("stale"))
+
+
+@_query(
+    f"""SELECT count(*) AS records, count(DISTINCT doc_id) AS documents, count(CASE WHEN kind = 'table' THEN 1 END) AS tables, count(CASE WHEN pii THEN 1 END) AS pii_records,
+    CAST(sum(len({_words('content')})) AS BIGINT) AS words FROM records"""
+)
+def build_stats(spark, d):
+    return records.build_stats(table(spark, d, "records"))
+
+
+@_query("SELECT category, kind, count(*) AS records FROM records GROUP BY ALL")
+def category_counts(spark, d):
+    return table(spark, d, "records").groupBy("category", "kind").agg(F.count("*").alias("records"))
+
+
+@_query()
+def corpus_build(spark, d):
+    stay, _ = pipeline.collect(table(spark, d, "documents"))
+    return pipeline.build(stay)
+
+
+@_query()
+def corpus_left_out(spark, d):
+    return pipeline.collect(table(spark, d, "documents"))[1]
+
+
+@_query("SELECT s.category, s.source, count(d.doc_id) AS docs FROM sources s LEFT JOIN documents d ON d.source = s.source GROUP BY ALL")
+def source_coverage(spark, d):
+    sources, documents = table(spark, d, "sources").select("source", "category"), table(spark, d, "documents").groupBy("source").agg(F.count("doc_id").alias("docs"))
+    return sources.join(documents, "source", "left").select("category", "source", F.coalesce("docs", F.lit(0)).alias("docs"))
+
+
+@_query("SELECT lower(coalesce(string_split(lang, '-')[1], '')) AS label, count(*) AS docs FROM documents GROUP BY 1")
+def language_labels(spark, d):
+    return table(spark, d, "documents").groupBy(F.lower(F.coalesce(F.split("lang", "-")[0], F.lit(""))).alias("label")).agg(F.count("*").alias("docs"))
+
+
+_LEAD = ["name", "phone", "email", "city"]
+
+
+@_query(f"SELECT lead_id, concat_ws('; ', {', '.join(f'''CASE WHEN trim({c}) <> '' THEN '{c}: ' || trim({c}) END''' for c in _LEAD)}) AS line FROM sample_leads")
+def labelled_leads(spark, d):
+    return table(spark, d, "sample_leads").select("lead_id", files.labelled(_LEAD).alias("line"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+_PAIRS = """WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, q.label AS ql, v.label AS vl, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity
+    FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)"""
+
+
+def _dense(spark, d, k):
+    vectors = table(spark, d, "embeddings")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieval.dense_top_k(vectors, queries, k)
+
+
+@_query(f"""{_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM p)
+    SELECT query_id, id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+def dense_top_k(spark, d):
+    return _dense(spark, d, 10).withColumn("similarity", F.round("similarity", 6))
+
+
+_BM25 = """WITH q AS (SELECT sample_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 1)[1:24])) AS term FROM lang_samples WHERE sample_id % 50 = 0),
+    t AS (SELECT record_id AS id, regexp_extract_all(lower(coalesce(content, '')), '[a-z0-9]+') AS w FROM records),
+    c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t), u AS (SELECT id, len(w) AS size, unnest(w) AS term FROM t),
+    f AS (SELECT term, id, size, count(*) AS tf FROM u WHERE term IN (SELECT term FROM q) GROUP BY ALL), x AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+    s AS (SELECT query_id, f.id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score
+          FROM f JOIN x ON x.term = f.term JOIN q ON q.term = f.term, c GROUP BY 1, 2),
+    lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s)"""
+
+
+@_query(f"{_BM25} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM lexical WHERE rank <= 25")
+def bm25_top_k(spark, d):
+    queries = table(spark, d, "lang_samples").where("sample_id % 50 = 0").select(F.col("sample_id").alias("query_id"), F.col("text").alias("query"))
+    docs = table(spark, d, "records").select(F.col("record_id").alias("id"), F.col("content").alias("body"))
+    return retrieval.bm25_top_k(docs, queries).withColumn("score", F.round("score", 6))
+
+
+@_query(
+    f"""{_PAIRS}, a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM p),
+    b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vl = ql DESC, id) AS rank FROM p),
+    f AS (SELECT query_id, id, rank FROM a WHERE rank <= 25 UNION ALL SELECT query_id, id, rank FROM b WHERE rank <= 25)
+    SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused FROM f GROUP BY 1, 2"""
+)
+def rank_fusion(spark, d):
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    queries = vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("ql"))
+    order = W.partitionBy("query_id").orderBy(F.desc("same"), "id")
+    same = vectors.join(F.broadcast(queries), F.lit(True)).withColumn("same", F.col("label") == F.col("ql"))  # the stated queries against all rows
+    labelled = same.withColumn("rank", F.row_number().over(order)).where("rank <= 25")
+    return retrieval.fuse(_dense(spark, d, 25), labelled).withColumn("fused", F.round("fused", 9))
+
+
+@_query()
+def hybrid_search(spark, d):
+    rows = table(spark, d, "records").select(F.col("doc_id").alias("id"), "source_type", "category").groupBy("id").agg(F.max((F.col("source_type") == "internal_document").cast("int")).alias("a"), F.min("category").alias("category"))
+    facts = rows.select("id", (F.col("a") == 1).alias("authoritative"), "category")
+    titles = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "title", "text").alias("body"))
+    queries = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"), F.lit(None).cast("string").alias("category"))
+    dense = _dense(spark, d, fixed.DENSE_CANDIDATES)
+    hits = retrieval.hybrid(dense, retrieval.bm25_top_k(titles, queries), facts, queries)
+    return hits.withColumns({"similarity": F.round("similarity", 6), "confidence": F.round("confidence", 6), "fused": F.round("fused", 9)})
+
+
+@_query(
+    f"""{_PAIRS}, b AS (SELECT query_id, max(similarity) AS score, arg_max(vl = ql, (similarity, -id)) AS in_scope FROM p WHERE id <> query_id GROUP BY query_id),
+    t AS (SELECT unnest(range(40, 85, 2)) AS pct)
+    SELECT pct / 100 AS threshold, count(CASE WHEN in_scope AND score < pct / 100 THEN 1 END) AS false_refusals, count(CASE WHEN NOT in_scope AND score >= pct / 100 THEN 1 END) AS false_answers,
+    count(CASE WHEN in_scope AND score < pct / 100 THEN 1 END) + count(CASE WHEN NOT in_scope AND score >= pct / 100 THEN 1 END) AS errors FROM b, t GROUP BY pct"""
+)
+def threshold_sweep(spark, d):
+    labels = table(spark, d, "embeddings").select("vec_id", "label")
+    best = _dense(spark, d, 2).where("id <> query_id")
+    best = best.groupBy("query_id").agg(F.max_by(F.struct("id", "similarity"), F.struct("similarity", -F.col("id"))).alias("b")).select("query_id", F.col("b.id").alias("id"), F.col("b.similarity").alias("score"))
+    joined = best.join(labels.withColumnsRenamed({"vec_id": "query_id", "label": "ql"}), "query_id").join(labels.withColumnsRenamed({"vec_id": "id", "label": "vl"}), "id")
+    return retrieval.threshold_sweep(joined.select("score", (F.col("ql") == F.col("vl")).alias("in_scope")))
+
+
+# ---------------------------------------------------------------- telemetry and conversations
+
+
+@_query(
+    """WITH t AS (SELECT DISTINCT ON (trace_id) trace_id, cumulative FROM traces ORDER BY trace_id),
+    e AS (SELECT trace_id, unnest(map_entries(cumulative)) AS e FROM t),
+    s AS (SELECT trace_id, e.key AS stage, e.value - coalesce(lag(e.value) OVER (PARTITION BY trace_id ORDER BY e.value, e.key), 0) AS ms FROM e)
+    SELECT trace_id, stage, round(ms, 2) AS ms FROM s"""
+)
+def stage_durations(spark, d):
+    return telemetry.stage_durations(table(spark, d, "traces").select("trace_id", "cumulative").dropDuplicates(["trace_id"]), "trace_id", "cumulative")
+
+
+_RANK = lambda f: f"list_sort(list(ms))[CAST(round_even({f} * (count(ms) - 1), 0) AS BIGINT) + 1]"
+
+
+@_query(
+    f"""WITH t AS (SELECT DISTINCT ON (trace_id) trace_id, stages FROM traces ORDER BY trace_id), e AS (SELECT unnest(map_entries(stages)) AS e FROM t), s AS (SELECT e.key AS stage, e.value AS ms FROM e WHERE e.value IS NOT NULL)
+    SELECT stage, {_RANK(0.5)} AS p50, {_RANK(0.95)} AS p95, min(ms) AS min, max(ms) AS max, count(*) AS samples FROM s GROUP BY stage"""
+)
+def latency_summary(spark, d):
+    return telemetry.latency_summary(table(spark, d, "traces").select("trace_id", "stages").dropDuplicates(["trace_id"]))
+
+
+@_query(
+    f"""WITH t AS (SELECT DISTINCT ON (trace_id) trace_id, asr_provider, total_ms AS ms FROM traces ORDER BY trace_id)
+    SELECT asr_provider, {_RANK(0.5)} AS p50, {_RANK(0.95)} AS p95, min(ms) AS min, max(ms) AS max, count(*) AS samples FROM t WHERE ms IS NOT NULL GROUP BY asr_provider"""
+)
+def provider_latency(spark, d):
+    once = table(spark, d, "traces").select("trace_id", "asr_provider", "total_ms").dropDuplicates(["trace_id"])
+    return telemetry.percentiles(once, ["asr_provider"], "total_ms", {"p50": 0.5, "p95": 0.95})
+
+
+_TURNS = "t AS (SELECT DISTINCT ON (turn_id) * FROM call_turns ORDER BY turn_id)"
+
+
+def _once(spark, d):
+    return conversation.once(table(spark, d, "call_turns"))
+
+
+@_query(
+    f"""WITH {_TURNS}, m AS (SELECT turn_id, list_filter([caller, agent], lambda c: c IS NOT NULL AND c <> '') AS m, call_id, turn_index FROM t),
+    h AS (SELECT turn_id, flatten(list(m) OVER (PARTITION BY call_id ORDER BY turn_index, turn_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)) AS h FROM m)
+    SELECT turn_id, CAST(coalesce(len(h), 0) AS INTEGER) AS messages, sha256(coalesce(array_to_string(h, chr(10)), '')) AS digest FROM h"""
+)
+def conversation_history(spark, d):
+    past = conversation.history(_once(spark, d))
+    return past.select("turn_id", F.size("history").alias("messages"), F.sha2(F.array_join(F.transform("history", lambda m: m["content"]), "\n"), 256).alias("digest"))
+
+
+@_query(
+    f"""WITH {_TURNS}, f AS (SELECT call_id, intent AS value, min((turn_index, turn_id)) AS f FROM t WHERE intent IS NOT NULL GROUP BY 1, 2)
+    SELECT call_id, value, f[1] AS turn_index, CAST(row_number() OVER (PARTITION BY call_id ORDER BY f, value) AS INTEGER) AS position FROM f"""
+)
+def first_seen_intents(spark, d):
+    return conversation.first_seen(_once(spark, d), "intent")
+
+
+@_query(
+    f"""WITH {_TURNS}, r AS (SELECT call_id, turn_index, trim(lang) AS value FROM t WHERE lang IS NOT NULL AND lower(trim(lang)) NOT IN ('', 'null', 'unknown')),
+    f AS (SELECT call_id, arg_min(value, (turn_index, value)) AS first, list_sort(list(DISTINCT (turn_index, value))) AS all_ FROM r GROUP BY call_id)
+    SELECT call_id, 'lang' AS slot, first AS value, array_to_string(list_transform(list_filter(all_, lambda x: lower(x[2]) <> lower(first)), lambda x: x[2]), ',') AS conflicts FROM f"""
+)
+def merged_slots(spark, d):
+    stated = _once(spark, d).select("call_id", "turn_index", F.lit("lang").alias("slot"), F.col("lang").alias("value"))
+    return conversation.merge_slots(stated).withColumn("conflicts", F.array_join("conflicts", ","))
+
+
+@_query(
+    f"""WITH {_TURNS}, e AS (SELECT call_id, turn_index, turn_id, unnest(conflicts) AS c, generate_subscripts(conflicts, 1) AS n FROM t),
+    o AS (SELECT call_id, c, min((turn_index, turn_id, n)) AS pos FROM e GROUP BY 1, 2)
+    SELECT call_id, string_agg(c, '|' ORDER BY pos) AS conflicts FROM o GROUP BY call_id"""
+)
+def conflict_lists(spark, d):
+    return conversation.conflict_list(_once(spark, d)).select("call_id", F.array_join("conflicts", "|").alias("conflicts"))
+
+
+@_query(
+    f"""WITH {_TURNS} SELECT call_id, count(*) AS turns, count(CASE WHEN abstained THEN 1 END) AS abstained, count(CASE WHEN len(conflicts) > 0 THEN 1 END) AS with_conflicts, count(DISTINCT intent) AS intents,
+    count(CASE WHEN answer_source = 'insufficient_context' THEN 1 END) AS insufficient, round(avg(confidence), 6) AS mean_confidence FROM t GROUP BY call_id"""
+)
+def call_report(spark, d):
+    return conversation.call_report(_once(spark, d))
+
+
+@_query()
+def figure_grounding(spark, d):
+    none = F.array().cast("array<string>")
+    return _once(spark, d).select("turn_id", conversation.unsupported_figures(F.col("agent"), F.col("caller"), none).alias("figures")).where(F.size("figures") > 0)
+
+
+@_query()
+def transcript_error(spark, d):
+    compared = _once(spark, d).select("call_id", evaluation.compare(F.col("caller"), F.col("agent")).alias("c"), evaluation.exact_match(F.col("caller"), F.col("agent")).alias("same"))
+    return compared.groupBy("call_id").agg(F.round(F.avg("c.wer"), 6).alias("wer"), F.sum(F.size("c.differences")).alias("differences"), F.count_if("same").alias("exact"))
+
+
+# ---------------------------------------------------------------- events
+
+
+@_query("SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    return signals.window_counts(table(spark, d, "events")).withColumn("value", F.round("value", 4))
+
+
+@_query(
+    """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM g)
+    SELECT user_id, min(ts) AS start, max(ts) AS stop, count(*) AS events FROM s GROUP BY user_id, n"""
+)
+def event_sessions(spark, d):
+    return signals.sessions(table(spark, d, "events"))
+
+
+@_query(
+    """WITH g AS (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events)
+    SELECT event_id, user_id, event_type FROM g WHERE before IS NULL OR ts >= before + INTERVAL '600 seconds'"""
+)
+def event_quiet_gap(spark, d):
+    return signals.quiet_gap(table(spark, d, "events"), ["user_id", "event_type"], 600).select("event_id", "user_id", "event_type")
+
+
+@_query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def latest_events(spark, d):
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("at"))
+    return files.latest(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), ["user_id"], "at").select("user_id", "event_id", "event_type")
+
+
+for _name, (_function, _sql) in star.QUERIES.items():
+    _query(_sql)(_function)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
