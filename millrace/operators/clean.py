@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace import runtime
 from millrace.functions import fixed, text
 
 
@@ -78,8 +79,7 @@ def trim_repeated(df: DataFrame, key: str, body: str, repeated: DataFrame, small
     """key and text without repeated lines. The list of lines is broadcast up to `small` lines;
     beyond, the lines are joined by a shuffle."""
     numbered = df.select(F.col(key).alias("_key"), F.posexplode(text.lines(F.col(body))).alias("_n", "_line"))
-    listed = repeated.select(F.col("line").alias("_listed"))
-    listed = F.broadcast(listed) if listed.limit(small + 1).count() <= small else listed
+    listed = runtime.small(repeated.select(F.col("line").alias("_listed")), small)
     kept = numbered.join(listed, text.stripped(F.col("_line")) == F.col("_listed"), "left_anti")
     merged = kept.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_n", "_line"))).alias("_lines"))
     body_of = F.array_join(F.transform("_lines", lambda x: x["_line"]), "\n")

@@ -1,7 +1,8 @@
 """Exact vector search, BM25, rank fusion with reserved places, abstention and its evaluation.
 
-Queries are a stated, bounded set and are broadcast in blocks against all rows; each block
-keeps its best k per query, so that only k rows per query and task are shuffled.
+Queries are a stated set and meet all rows in blocks; each pair of blocks keeps its best k
+per query, so that only k rows per query and block are shuffled. What is broadcast is
+counted before (small); beyond the bound the same join shuffles.
 
 Defined results: equal similarities are ordered by id; rows with a null vector or another
 length than the query's have no similarity; an empty query abstains.
@@ -18,39 +19,56 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed, text
+from millrace.runtime import materialize, small
 
-#: Queries of one block; more queries make more blocks, each read once over the vectors.
-QUERY_BLOCK = 4096
+#: Rows of one block of vectors.
+BLOCK = 4096
+
+
+def _blocks(df: DataFrame, prefix: str) -> DataFrame:
+    """Rows (id, vector) packed into blocks of at most BLOCK: their ids, and their matrix as float32."""
+    kind = df.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                by_width: dict[int, list[int]] = {}
+                vectors = part.column(1).to_pylist()
+                for n, v in enumerate(vectors):
+                    if v and None not in v:
+                        by_width.setdefault(len(v), []).append(n)
+                for width, rows in by_width.items():
+                    ids = pa.array([part.column(0).take(pa.array(rows)).to_pylist()], pa.list_(part.column(0).type))
+                    matrix = np.array([vectors[n] for n in rows], np.float32)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([width], pa.int32()), pa.array([matrix.tobytes()], pa.binary())], [f"{prefix}ids", f"{prefix}width", f"{prefix}matrix"])
+
+    return df.mapInArrow(run, f"{prefix}ids array<{kind}>, {prefix}width int, {prefix}matrix binary")
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, id, similarity and rank of the k rows with the largest inner product. The queries
-    (query_id, vector) are collected: they are a stated set, checked against QUERY_BLOCK per block."""
-    rows = queries.select("query_id", "vector").collect()
+    """query_id, id, similarity and rank of the k rows with the largest inner product. The stated
+    queries (query_id, vector) meet all rows block by block; of each pair of blocks only the best k per
+    query go on."""
     kind, query_kind = vectors.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    out = None
-    for at in range(0, max(len(rows), 1), QUERY_BLOCK):
-        block = rows[at : at + QUERY_BLOCK]
-        ids = [r[0] for r in block]
-        matrix = np.array([r[1] for r in block], np.float32).reshape(len(block), -1)
-
-        def search(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lists = batch.column(1).to_pylist()
-                good = [n for n, v in enumerate(lists) if v is not None and len(v) == matrix.shape[1]]
-                if not good or not len(ids):
-                    continue
-                own = np.array([lists[n] for n in good], np.float32)
-                scores = own.astype(np.float64) @ matrix.T.astype(np.float64)
-                keep = min(k, len(good))
+    asked = materialize(_blocks(queries.select(F.col("query_id").alias("id"), "vector"), "q"))
+    rows = _blocks(vectors.select(F.col(key).alias("id"), F.col(vector).alias("vector")), "v")
+    pairs = rows.crossJoin(small(asked, 64)).where("qwidth = vwidth")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair in batch.to_pylist():
+                own, wanted = (np.frombuffer(pair[f"{p}matrix"], np.float32).reshape(-1, pair[f"{p}width"]).astype(np.float64) for p in "vq")
+                scores = own @ wanted.T
+                keep = min(k, len(own))
                 # ties at the cut are kept here and decided by id afterwards
-                floor = np.partition(scores, len(good) - keep, axis=0)[len(good) - keep]
+                floor = np.partition(scores, len(own) - keep, axis=0)[len(own) - keep]
                 row, query = np.nonzero(scores >= floor)
-                taken = batch.column(0).take(pa.array(np.array(good)[row]))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in query]), taken, pa.array(scores[row, query])], ["query_id", "id", "similarity"])
+                asked_ids, ids = batch.schema.field("qids").type.value_type, batch.schema.field("vids").type.value_type
+                found = [pa.array([pair["qids"][q] for q in query], asked_ids), pa.array([pair["vids"][r] for r in row], ids), pa.array(scores[row, query])]
+                yield pa.RecordBatch.from_arrays(found, ["query_id", "id", "similarity"])
 
-        part = vectors.select(F.col(key), F.col(vector)).mapInArrow(search, f"query_id {query_kind}, id {kind}, similarity double")
-        out = part if out is None else out.unionByName(part)
+    out = pairs.mapInArrow(search, f"query_id {query_kind}, id {kind}, similarity double")
     order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -62,13 +80,13 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = fixed.LEXICAL_CANDI
     tokens = docs.select(F.col(key).alias("id"), F.regexp_extract_all(F.lower(F.coalesce(F.col(body), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)).alias("tokens"))
     corpus = tokens.agg(F.count("*").alias("docs"), F.avg(F.size("tokens")).alias("mean"))
     wanted = terms.select("term").distinct()
-    postings = tokens.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("term")).join(F.broadcast(wanted), "term")
+    postings = tokens.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("term")).join(small(wanted), "term")
     postings = postings.groupBy("term", "id", "size").agg(F.count("*").alias("tf"))
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     weighed = postings.join(frequency, "term").crossJoin(F.broadcast(corpus))  # corpus is one row
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    scored = weighed.select("term", "id", gain.alias("gain")).join(F.broadcast(terms), "term").groupBy("query_id", "id").agg(F.sum("gain").alias("score"))
+    scored = weighed.select("term", "id", gain.alias("gain")).join(small(terms), "term").groupBy("query_id", "id").agg(F.sum("gain").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import text
+from millrace.runtime import materialize, small
 
 
 def stage_durations(df: DataFrame, key: str, marks: str) -> DataFrame:
@@ -32,11 +33,11 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str, shares: dict[st
     place = lambda f: F.floor(f * (F.col("total") - 1)) if floor else F.bround(f * (F.col("total") - 1), 0)
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(f).cast("bigint").alias("at")) for name, f in shares.items()]))
     asked = counted.select(*group, "bucket", "before", "n", wanted.alias("w")).where("w.at >= before AND w.at < before + n")
-    asked = asked.select(*group, "bucket", F.col("w.name").alias("name"), (F.col("w.at") - F.col("before") + 1).alias("place"))
-    inside = rows.join(F.broadcast(asked.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("bucket").alias("_b")).distinct()), _same(rows, [*group, "bucket"], [*(f"_{c}" for c in group), "_b"]), "left_semi")
+    asked = materialize(asked.select(*group, "bucket", F.col("w.name").alias("name"), (F.col("w.at") - F.col("before") + 1).alias("place")))
+    inside = rows.join(small(asked.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("bucket").alias("_b")).distinct()), _same(rows, [*group, "bucket"], [*(f"_{c}" for c in group), "_b"]), "left_semi")
     numbered = inside.withColumn("place", F.row_number().over(W.partitionBy(*group, "bucket").orderBy("v")))
     renamed = asked.withColumnsRenamed({c: f"_{c}" for c in [*group, "bucket", "place"]})
-    answers = numbered.join(F.broadcast(renamed), _same(numbered, [*group, "bucket", "place"], [f"_{c}" for c in [*group, "bucket", "place"]]))
+    answers = numbered.join(small(renamed), _same(numbered, [*group, "bucket", "place"], [f"_{c}" for c in [*group, "bucket", "place"]]))
     named = answers.groupBy(*group).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares])
     ends = counted.groupBy(*group).agg(F.min("low").alias("min"), F.max("high").alias("max"), F.sum("n").alias("samples"))
     other = ends.withColumnsRenamed({c: f"_{c}" for c in group})

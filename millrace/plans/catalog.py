@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import fixed, text
 from millrace.operators import chunk, clean, conversation, dedupe, evaluation, normalize, privacy, quality, records, retrieval, telemetry
 from millrace.plans import pipeline, star
-from millrace.runtime import materialize, ship, table
+from millrace.runtime import materialize, ship, small, table
 from millrace.sources import files
 from millrace.streaming import signals
 
@@ -350,7 +350,7 @@ def rank_fusion(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
     queries = vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("ql"))
     order = W.partitionBy("query_id").orderBy(F.desc("same"), "id")
-    same = vectors.join(F.broadcast(queries), F.lit(True)).withColumn("same", F.col("label") == F.col("ql"))  # the stated queries against all rows
+    same = vectors.crossJoin(small(queries)).withColumn("same", F.col("label") == F.col("ql"))  # the stated queries against all rows
     labelled = same.withColumn("rank", F.row_number().over(order)).where("rank <= 25")
     return retrieval.fuse(_dense(spark, d, 25), labelled).withColumn("fused", F.round("fused", 9))
 
