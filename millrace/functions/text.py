@@ -105,3 +105,11 @@ def host(url: Column) -> Column:
     """Host of a URL in any spelling: without scheme, www., port, path and letter case."""
     bare = F.regexp_extract(F.lower(F.trim(url)), r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:www\.)?([^/:?#]+)", 1)
     return F.when(bare != "", bare)
+
+
+def loose_json(raw: Column) -> Column:
+    """The JSON object in a reply: the text without a code fence, else its outermost braces; null if neither parses."""
+    bare = F.regexp_replace(F.trim(raw), r"^```(?:json)?\s*|\s*```$", "")
+    inner = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
+    whole = F.when(F.try_parse_json(bare).isNotNull() & bare.startswith("{"), bare)
+    return F.coalesce(whole, F.when((inner != "") & F.try_parse_json(inner).isNotNull(), inner))

@@ -11,10 +11,12 @@ import difflib
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators import telemetry
+
 _TOKEN = re.compile(r"[\w']+")
 
 
@@ -40,6 +42,20 @@ def compare(spoken: Column, heard: Column) -> Column:
     return F.pandas_udf(_aligned, _RESULT)(spoken, heard)
 
 
+def distribution(scores: DataFrame, group: str, value: str) -> DataFrame:
+    """min, p10, median, p90, max and samples of each group, by the floor-index percentile."""
+    return telemetry.percentiles(scores, [group], value, {"p10": 0.1, "median": 0.5, "p90": 0.9}, floor=True)
+
+
+def expectations(report: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """key, measure, least, found and met: expected has key, measure and the least value; report has a
+    column for each measure. A missing call meets nothing."""
+    measures = [c for c in report.columns if c != key]
+    long = report.select(F.col(key), F.explode(F.map_from_arrays(F.array(*map(F.lit, measures)), F.array(*[F.col(c).cast("double") for c in measures]))).alias("measure", "found"))
+    joined = expected.join(long, [key, "measure"], "left")
+    return joined.select(key, "measure", "least", "found", F.coalesce(F.col("found") >= F.col("least"), F.lit(False)).alias("met"))
+
+
 def terms_preserved(heard: Column, terms: Column) -> Column:
     return F.filter(terms, lambda t: F.contains(F.lower(heard), F.lower(t)))
 

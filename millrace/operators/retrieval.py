@@ -138,6 +138,27 @@ def abstention(hits: DataFrame, queries: DataFrame, threshold: float = fixed.MIN
     return joined.select("query_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), reason.isNotNull().alias("abstained"), reason.alias("reason"))
 
 
+def citations(hits: DataFrame, facts: DataFrame, most: int = 4) -> DataFrame:
+    """query_id and its best `most` hits as citations (record_id, title, source_url, similarity), in order.
+    facts has id, title and source_url. A query has at most `most` of them, so the list is small."""
+    cited = hits.where(F.col("position") <= most).join(facts.select("id", "title", "source_url"), "id")
+    item = F.struct("position", F.struct(F.col("id").alias("record_id"), "title", "source_url", F.round("similarity", 3).alias("similarity")).alias("c"))
+    return cited.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["c"]).alias("citations"))
+
+
+def context(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id and the text of its hits in order, each under its id; docs has id, section_path and content."""
+    joined = hits.join(docs.select("id", "section_path", "content"), "id")
+    shown = F.concat_ws("\n", F.concat(F.lit("["), F.col("id").cast("string"), F.lit("] "), F.coalesce("section_path", F.lit(""))), "content")
+    return joined.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", shown.alias("s")))), lambda x: x["s"]), "\n\n").alias("context"))
+
+
+def used_citations(cited: Column, retrieved: Column, fallback: int = 2) -> Column:
+    """The retrieved citations whose record id was cited, else the first `fallback` of them."""
+    kept = F.filter(retrieved, lambda c: F.array_contains(F.coalesce(cited, F.array().cast("array<string>")), c["record_id"].cast("string")))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.slice(retrieved, 1, fallback))
+
+
 def verdict(expect_abstain: Column, abstained: Column, hits: Column, needles: Column) -> Column:
     """Verdict of one case from the texts of its hits in order."""
     has_all = lambda body: F.forall(needles, lambda n: F.contains(F.lower(body), F.lower(n)))

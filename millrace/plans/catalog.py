@@ -380,6 +380,26 @@ def threshold_sweep(spark, d):
     return retrieval.threshold_sweep(joined.select("score", (F.col("ql") == F.col("vl")).alias("in_scope")))
 
 
+_AT = lambda f: f"list_sort(list(score))[CAST(floor({f} * (count(score) - 1)) AS BIGINT) + 1]"
+
+
+@_query(
+    f"""{_PAIRS}, b AS (SELECT ql AS label, round(max(similarity), 6) AS score FROM p WHERE id <> query_id GROUP BY query_id, ql)
+    SELECT label, {_AT(0.1)} AS p10, {_AT(0.5)} AS median, {_AT(0.9)} AS p90, min(score) AS min, max(score) AS max, count(*) AS samples FROM b GROUP BY label"""
+)
+def score_distribution(spark, d):
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
+    best = _dense(spark, d, 2).where("id <> query_id").groupBy("query_id").agg(F.round(F.max("similarity"), 6).alias("score"))
+    return evaluation.distribution(best.join(labels, "query_id"), "label", "score")
+
+
+@_query()
+def search_citations(spark, d):
+    hits = hybrid_search(spark, d).where("NOT abstained")
+    facts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "title", F.col("url").alias("source_url"))
+    return retrieval.citations(hits, facts)
+
+
 # ---------------------------------------------------------------- telemetry and conversations
 
 

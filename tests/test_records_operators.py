@@ -168,3 +168,24 @@ def test_stream_matches_batch(spark, tmp_path):
     assert spark.table("once").count() == 6
     batch = signals.window_counts(spark.read.parquet(str(tmp_path / "in")))
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_citations_context_and_expectations(spark):
+    hits = spark.createDataFrame([(1, 7, 0.91234, 1), (1, 8, 0.8, 2)], "query_id int, id int, similarity double, position int")
+    facts = spark.createDataFrame([(7, "T", "u", "S", "body seven"), (8, None, None, None, "body eight")], "id int, title string, source_url string, section_path string, content string")
+    cited = retrieval.citations(hits, facts)
+    assert [tuple(c) for c in cited.first()["citations"]] == [(7, "T", "u", 0.912), (8, None, None, 0.8)]
+    assert retrieval.context(hits, facts).first()["context"] == "[7] S\nbody seven\n\n[8] \nbody eight"
+    used = cited.select(retrieval.used_citations(F.array(F.lit("8")), F.col("citations")).alias("a"), retrieval.used_citations(F.array(F.lit("9")), F.col("citations"), 1).alias("b")).first()
+    assert [c["record_id"] for c in used["a"]] == [8] and [c["record_id"] for c in used["b"]] == [7]
+    report = spark.createDataFrame([("c1", 3, 1)], "call_id string, turns int, conflicts int")
+    wanted = spark.createDataFrame([("c1", "turns", 2.0), ("c1", "conflicts", 2.0), ("c2", "turns", 1.0)], "call_id string, measure string, least double")
+    assert sorted((x["call_id"], x["measure"], x["met"]) for x in evaluation.expectations(report, wanted, "call_id").collect()) == [("c1", "conflicts", False), ("c1", "turns", True), ("c2", "turns", False)]
+
+
+def test_loose_json(spark):
+    from millrace.functions import text
+
+    cases = [('{"a": 1}', '{"a": 1}'), ('```json\n{"a": 1}\n```', '{"a": 1}'), ('Here: {"a": {"b": 2}} done', '{"a": {"b": 2}}'), ("no json", None), (None, None), ("{broken", None)]
+    df = spark.createDataFrame([(a,) for a, _ in cases], "r string").select(text.loose_json(F.col("r")).alias("j"))
+    assert [x["j"] for x in df.collect()] == [b for _, b in cases]
