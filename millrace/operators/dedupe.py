@@ -24,7 +24,8 @@ from millrace.runtime import materialize
 def exact_duplicates(df: DataFrame, key: str, body: str) -> DataFrame:
     """kept and dropped of every copy but the first of its fingerprint. The keeper of a group is a
     minimum, combined before the shuffle, so a group of any size is no single task's burden."""
-    marked = df.select(F.col(key).alias("id"), text.fingerprint(F.col(body)).alias("print"), F.length(F.coalesce(F.col(body), F.lit(""))).alias("size"))
+    # a table, as the fingerprint would else be computed for the grouping, the join and its null check
+    marked = materialize(df.select(F.col(key).alias("id"), text.fingerprint(F.col(body)).alias("print"), F.length(F.coalesce(F.col(body), F.lit(""))).alias("size")))
     first = marked.groupBy("print").agg(F.min(F.struct(-F.col("size"), F.col("id"))).alias("first"), F.count("*").alias("copies"))
     several = first.where("copies > 1").select("print", F.col("first.id").alias("kept"))
     return marked.join(several, "print").where("id <> kept").select("kept", F.col("id").alias("dropped"))
@@ -35,7 +36,7 @@ def similar_pairs(df: DataFrame, key: str, body: str, threshold: tuple[int, int]
     be free of exact copies (see near_duplicates)."""
     num, den = threshold
     sets = df.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(F.transform(text.shingles(F.col(body), size), lambda s: F.xxhash64(s)))).alias("set"))
-    sets = materialize(sets.withColumn("n", F.size("set")).where("n > 0"))
+    sets = materialize(sets).withColumn("n", F.size("set")).where("n > 0")
     single = sets.select("id", "n", F.explode("set").alias("s"))
     often = single.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     rare_first = W.partitionBy("id").orderBy("df", "s")

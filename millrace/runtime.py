@@ -15,9 +15,22 @@ from pyspark.sql import functions as F
 _PACKAGE = Path(__file__).resolve().parent
 
 
+#: Tables whose rows cost much to work on.
+TEXT_TABLES = frozenset({"documents", "chunks", "records", "call_turns"})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables of a data directory."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the Parquet tables of a data directory; a text table of few splits is spread."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that the scan cuts into fewer splits than half the cores is dealt out to all of them;
+    only tables of a few files are that small, any other is left as it is. Filters and columns are
+    still pushed into the scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
 
 
 def ship(spark: SparkSession) -> None:
