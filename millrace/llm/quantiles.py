@@ -136,12 +136,25 @@ def merge(summaries: DataFrame, by: Sequence[str], share: float) -> DataFrame:
     """Merge the summaries of each group of `by`; `share` of n is the compression's error."""
     fields = {c: summaries.schema[c].dataType.simpleString() for c in by}
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = Summary.merged([Summary.unpack(raw) for raw in pdf["summary"]]).compressed(share)
-        return pdf.iloc[:1][list(by)].assign(summary=[whole.pack()])
-
-    picked = summaries.select(*by, "summary")
-    return picked.groupBy(*by).applyInPandas(join, ", ".join([*(f"{c} {t}" for c, t in fields.items()), "summary binary"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, held, parts = None, None, []
+        for batch in batches:
+            schema, done = batch.schema, []
+            columns = [batch.column(k).to_pylist() for k in range(len(by) + 1)]
+            for *group, raw in zip(*columns):
+                if parts and group != held:
+                    done.append((*held, Summary.merged(parts).compressed(share).pack()))
+                    parts = []
+                held = group
+                parts.append(Summary.unpack(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done) if done else [()] * len(schema), schema)], schema=schema)
+        if parts:
+            last = (*held, Summary.merged(parts).compressed(share).pack())
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(last, schema)], schema=schema)
+
+    # the summaries of a group are neighbours in one task, and each is of bounded size
+    together = summaries.select(*by, "summary").repartition(*by).sortWithinPartitions(*by)
+    return together.mapInArrow(run, ", ".join([*(f"{c} {t}" for c, t in fields.items()), "summary binary"]))
 
 
 def read_off(summaries: DataFrame, shares: dict[str, float]) -> DataFrame:
