@@ -103,7 +103,7 @@ def query_tokens(text: Column, most: int = fixed.QUERY_TOKENS) -> Column:
 
 def host(url: Column) -> Column:
     """Host of a URL in any spelling: without scheme, www., port, path and letter case."""
-    bare = F.regexp_extract(F.lower(F.trim(url)), r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:www\.)?([^/:?#]+)", 1)
+    bare = F.regexp_extract(F.lower(F.trim(url)), r"^(?:[a-z][a-z0-9+.-]*:(?=//))?(?://)?(?:www\.)?([^/:?#]+)", 1)
     return F.when(bare != "", bare)
 
 

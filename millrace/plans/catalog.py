@@ -147,7 +147,7 @@ def sentence_split(spark, d):
     return table(spark, d, "records").select("record_id", F.size(text.sentences(F.coalesce("content", F.lit("")))).alias("sentences"))
 
 
-@_query("SELECT doc_id, regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:www\\.)?([^/:?#]+)', 1) AS host FROM documents")
+@_query("SELECT doc_id, regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*://|//)?(?:www\\.)?([^/:?#]+)', 1) AS host FROM documents")
 def hosts(spark, d):
     return table(spark, d, "documents").select("doc_id", text.host(F.col("url")).alias("host"))
 
