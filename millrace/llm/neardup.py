@@ -34,6 +34,8 @@ _BLOCK_BITS = 14
 HOT = 20_000
 #: Up to so many candidate sets (their record ids) are broadcast; beyond, the join shuffles.
 BROADCAST_SETS = 500_000
+#: Records of a set that are paired at once, and tasks at most for writing the pairs.
+BLOCK, MOST_PARTS = 1000, 10_000
 
 
 class _Words(dict):
@@ -102,27 +104,29 @@ def _slices(column: pa.Array, chars: int = 3_000_000, rows: int = 8000) -> Itera
 
 
 def membership(df: DataFrame, key: str, text: str, width: int, sketch_bits: int) -> tuple[DataFrame, np.ndarray]:
-    """key, set_key and size of every record, and the merged count sketch of the sequences."""
+    """key, set_key, size and content (hash of the text) of every record, and the merged count
+    sketch of the sequences."""
     kind = df.schema[key].dataType.simpleString()
     blocks, block = 1 << max(0, sketch_bits - _BLOCK_BITS), 1 << min(sketch_bits, _BLOCK_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(blocks * block, np.int32)
-        names = ["key", "set_key", "size", "block", "counts"]
+        names = ["key", "set_key", "size", "content", "block", "counts"]
         for batch in batches:
             for at, texts in _slices(batch.column(1)):
                 row, codes = sequences(texts, width)
                 np.add.at(sketch, (codes & np.uint64(len(sketch) - 1)).astype(np.int64), 1)
                 keys, sizes = _set_keys(row, codes, len(texts))
                 ids, none = batch.column(0).slice(at, len(texts)), len(texts)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(keys.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names)
+                content = np.array([xxhash.xxh3_64_intdigest(text or "") for text in texts], np.uint64)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(keys.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(content.view(np.int64)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names)
                 kinds = ids.type
         if sketch.any():
             counts = [sketch[k * block : (k + 1) * block].tobytes() for k in range(blocks)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(blocks, kinds), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.int32()), pa.array(range(blocks), pa.int32()), pa.array(counts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(blocks, kinds), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.int32()), pa.nulls(blocks, pa.int64()), pa.array(range(blocks), pa.int32()), pa.array(counts, pa.binary())], names)
 
     picked = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    both = materialize(picked.mapInArrow(run, f"key {kind}, set_key bigint, size int, block int, counts binary"))
+    both = materialize(picked.mapInArrow(run, f"key {kind}, set_key bigint, size int, content bigint, block int, counts binary"))
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(block, np.int64)
@@ -134,7 +138,7 @@ def membership(df: DataFrame, key: str, text: str, width: int, sketch_bits: int)
     sums = both.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary")
     for number, raw in sums.collect():  # 2 ** sketch_bits counters, whatever the input
         merged[number * block : (number + 1) * block] = np.frombuffer(raw, np.int32)
-    return both.where("block IS NULL").select("key", "set_key", "size"), merged
+    return both.where("block IS NULL").select("key", "set_key", "size", "content"), merged
 
 
 def _postings(df: DataFrame, text: str, width: int, sketch: np.ndarray, tiles: int, num: int, den: int) -> DataFrame:
@@ -244,7 +248,7 @@ class Links:
 
 def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, threshold: tuple[int, int] = (3, 4), sketch_bits: int = 20) -> Links:
     """Pairs (set_a, set_b, shared, either) of different sets with shared / either at or above the
-    threshold, and members (key, set_key, size) of every record."""
+    threshold, and members (key, set_key, size, content) of every record."""
     num, den = threshold
     spark = df.sparkSession
     members, sketch = membership(df, key, text, width, sketch_bits)
@@ -287,24 +291,37 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, threshol
     return Links(materialize(pairs), members, key)
 
 
-def record_pairs(links: Links, expand_copies: int = 100) -> DataFrame:
-    """a and b (a < b): the linked pairs of records. Copies of one text are all paired up to
-    `expand_copies` of them; in larger groups each copy is paired with the first, and links of
-    the group with other texts start at its first `expand_copies` copies' representative."""
-    some = links.members.where("size > 0").select("key", "set_key").distinct()
-    groups = some.groupBy("set_key").agg(F.count("*").alias("copies"), F.min("key").alias("first"))
-    several = groups.where("copies > 1")
-    copies = some.join(several, "set_key")
-    few, many = copies.where(F.col("copies") <= expand_copies), copies.where(F.col("copies") > expand_copies)
-    other = few.select("set_key", F.col("key").alias("other"))
-    inside = few.join(other, "set_key").where("key < other").select(F.col("key").alias("a"), F.col("other").alias("b"))
-    inside = inside.unionByName(many.where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")))
-    ends = links.pairs.select(F.col("set_a").alias("set_key")).union(links.pairs.select("set_b")).distinct()
-    linked = some.join(ends, "set_key", "left_semi").join(groups, "set_key")
-    linked = materialize(linked.where((F.col("copies") <= expand_copies) | (F.col("key") == F.col("first"))).select("set_key", "key"))
-    across = links.pairs.join(linked.withColumnsRenamed({"set_key": "set_a", "key": "x"}), "set_a")
-    across = across.join(linked.withColumnsRenamed({"set_key": "set_b", "key": "y"}), "set_b")
-    return inside.unionByName(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+def record_pairs(links: Links, expand_copies: int | None = 100) -> DataFrame:
+    """a and b (a < b): the linked pairs of records. With `expand_copies` None these are all of them.
+    Else more than `expand_copies` records of one and the same text are each paired with the first
+    of them only, and their pairs with other texts start at that first; records of different texts
+    are all paired, also if their sets of sequences are equal."""
+    some = links.members.where("size > 0").groupBy("key", "set_key").agg(F.min("content").alias("content"))
+    star = None
+    if expand_copies is not None:
+        some = materialize(some)
+        many = some.groupBy("set_key", "content").agg(F.count("*").alias("copies"), F.min("key").alias("first")).where(F.col("copies") > expand_copies)
+        many = materialize(many.drop("copies"))
+        some = some.join(many, ["set_key", "content"], "left")
+        star = some.where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+        some = some.where("first IS NULL OR key = first")
+    some = some.select("set_key", "key")
+    ends = links.pairs.select(F.col("set_a").alias("set_key")).union(links.pairs.select("set_b")).distinct().withColumn("linked", F.lit(True))
+    groups = some.groupBy("set_key").agg(F.count("*").alias("copies")).join(ends, "set_key", "left")
+    groups = materialize(groups.where("copies > 1 OR linked").select("set_key", "copies"))
+    # the records of a set are dealt into blocks; two blocks meet in one cell of up to about BLOCK * BLOCK pairs
+    block = F.pmod(F.xxhash64("key"), F.ceil(F.col("copies") / BLOCK)).alias("block")
+    blocks = materialize(some.join(groups, "set_key").groupBy("set_key", block).agg(F.collect_list("key").alias("keys")))
+    edges = links.pairs.select("set_a", "set_b").unionByName(groups.where("copies > 1").select(F.col("set_key").alias("set_a"), F.col("set_key").alias("set_b")))
+    cells = edges.join(blocks.withColumnsRenamed({"set_key": "set_a", "block": "block_a", "keys": "keys_a"}), "set_a")
+    cells = cells.join(blocks.withColumnsRenamed({"set_key": "set_b", "block": "block_b", "keys": "keys_b"}), "set_b")
+    cells = materialize(cells.where("set_a <> set_b OR block_a <= block_b"))
+    due = cells.agg(F.sum(F.size("keys_a").cast("long") * F.size("keys_b"))).first()[0] or 0
+    cells = cells.repartition(min(due // (BLOCK * BLOCK) + 1, MOST_PARTS), "set_a", "block_a", "set_b", "block_b")
+    once = (F.col("set_a") == F.col("set_b")) & (F.col("block_a") == F.col("block_b"))
+    pairs = cells.select(once.alias("once"), F.explode("keys_a").alias("x"), "keys_b").select("once", "x", F.explode("keys_b").alias("y"))
+    pairs = pairs.where("x < y OR (NOT once AND x > y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs if star is None else pairs.unionByName(star)
 
 
 def record_groups(links: Links, rounds: int = 60) -> DataFrame:
@@ -323,7 +340,7 @@ def record_groups(links: Links, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"groups are not complete after {rounds} rounds")
     degree = edges.groupBy("u").agg(F.count("*").alias("links"))
-    placed = links.members.distinct().join(labels.join(degree, "u"), F.col("set_key") == F.col("u"), "left")
+    placed = links.members.select("key", "set_key", "size").distinct().join(labels.join(degree, "u"), F.col("set_key") == F.col("u"), "left")
     alone = F.xxhash64(F.lit("single"), "key")
     group = F.when(F.col("size") > 0, F.coalesce("label", "set_key")).otherwise(alone)
     return placed.select(F.col("key").alias(links.key), group.alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

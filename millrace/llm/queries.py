@@ -68,7 +68,7 @@ def p4_masked(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     links = neardup.near_duplicates(table(spark, d, "records"), "record_id", "content")
-    return neardup.record_pairs(links).withColumnsRenamed({"a": "record_a", "b": "record_b"})
+    return neardup.record_pairs(links, expand_copies=None).withColumnsRenamed({"a": "record_a", "b": "record_b"})
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -212,6 +212,24 @@ def test_large_groups_of_copies_are_a_star(spark):
     assert {x["group_id"] for x in neardup.record_groups(links).collect()} == {neardup.record_groups(links).first()["group_id"]}
 
 
+def test_all_pairs_of_a_large_set_are_found(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    words = " ".join(f"w{k}" for k in range(12))
+    rows = [(f"k{n:03}", words) for n in range(70)] + [(f"m{n:03}", words.replace(" ", " " * (n + 2), 1)) for n in range(60)]
+    rows += [("x1", f"{words} more"), ("x2", f"{words} more"), ("far", "one two three")]
+    spark.createDataFrame(rows, "record_id string, content string").write.parquet(f"{tmp_path}/records.parquet")
+    keys = sorted(k for k, _ in rows if k != "far")
+    want = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]]
+    assert sorted(map(tuple, queries.queries()["p5_found"](spark, str(tmp_path)).collect())) == want
+
+
+def test_only_equal_texts_are_collapsed(spark):
+    rows = [(f"k{n}", "one two three four") for n in range(4)] + [("m0", "one  two three four"), ("m1", "One two three four"), ("other", "one two three four five")]
+    links = neardup.near_duplicates(spark.createDataFrame(rows, "id string, content string"), "id", "content", threshold=(2, 3))
+    got = sorted(map(tuple, neardup.record_pairs(links, expand_copies=2).collect()))
+    assert got == sorted([("k0", f"k{n}") for n in (1, 2, 3)] + [(a, b) for i, a in enumerate(["k0", "m0", "m1", "other"]) for b in ["k0", "m0", "m1", "other"][i + 1 :]])
+
+
 # ---------------------------------------------------------------- p6
 
 PAGE = """Claims > Help centre > Home
