@@ -325,7 +325,8 @@ def record_pairs(links: Links, expand_copies: int | None = 100) -> DataFrame:
 
 
 def record_groups(links: Links, rounds: int = 60) -> DataFrame:
-    """key, group_id (the smallest set key that its links reach) and links of every record."""
+    """key, group_id (the smallest set key that its links reach) and links (the number of records
+    paired with it: the others of its set and all of the linked sets) of every record."""
     edges = links.pairs.select(F.col("set_a").alias("u"), F.col("set_b").alias("v"))
     edges = materialize(edges.union(edges.select("v", "u")))
     labels = materialize(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("label")))
@@ -339,8 +340,13 @@ def record_groups(links: Links, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"groups are not complete after {rounds} rounds")
-    degree = edges.groupBy("u").agg(F.count("*").alias("links"))
-    placed = links.members.select("key", "set_key", "size").distinct().join(labels.join(degree, "u"), F.col("set_key") == F.col("u"), "left")
+    records = links.members.select("key", "set_key", "size").distinct()
+    held = records.where("size > 0").groupBy(F.col("set_key").alias("u")).agg(F.count("*").alias("held"))
+    linked = edges.select("u").distinct()
+    held = materialize(held.join(linked.withColumn("linked", F.lit(True)), "u", "left").where("held > 1 OR linked"))
+    across = edges.join(held.select(F.col("u").alias("v"), F.col("held").alias("there")), "v").groupBy("u").agg(F.sum("there").alias("across"))
+    degree = held.join(across, "u", "left").select("u", (F.col("held") - 1 + F.coalesce("across", F.lit(0))).alias("links"))
+    placed = records.join(degree.join(labels, "u", "left"), F.col("set_key") == F.col("u"), "left")
     alone = F.xxhash64(F.lit("single"), "key")
     group = F.when(F.col("size") > 0, F.coalesce("label", "set_key")).otherwise(alone)
     return placed.select(F.col("key").alias(links.key), group.alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

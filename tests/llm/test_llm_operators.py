@@ -223,6 +223,17 @@ def test_all_pairs_of_a_large_set_are_found(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, queries.queries()["p5_found"](spark, str(tmp_path)).collect())) == want
 
 
+def test_links_count_records(spark):
+    words = " ".join(f"w{k}" for k in range(12))
+    rows = [(f"k{n}", words) for n in range(3)] + [("m", words.upper()), ("m", words.upper())] + [(f"x{n}", f"{words} more") for n in range(2)]
+    rows += [("p", "a b c d"), ("q", "a  b c d"), ("far", "one two three"), ("none", None)]
+    links = neardup.near_duplicates(spark.createDataFrame(rows, "id string, content string"), "id", "content")
+    got = {x["id"]: x["links"] for x in neardup.record_groups(links).collect()}
+    assert got == {"k0": 5, "k1": 5, "k2": 5, "m": 5, "x0": 5, "x1": 5, "p": 1, "q": 1, "far": 0, "none": 0}
+    paired = [k for pair in neardup.record_pairs(links, expand_copies=None).collect() for k in pair]
+    assert all(paired.count(k) == n for k, n in got.items())
+
+
 def test_only_equal_texts_are_collapsed(spark):
     rows = [(f"k{n}", "one two three four") for n in range(4)] + [("m0", "one  two three four"), ("m1", "One two three four"), ("other", "one two three four five")]
     links = neardup.near_duplicates(spark.createDataFrame(rows, "id string, content string"), "id", "content", threshold=(2, 3))
