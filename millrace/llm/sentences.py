@@ -1,10 +1,14 @@
 """Sentence units across languages and scripts.
 
-Spaced scripts: every run of terminators is a node with two readings, "ends" and "goes
-on"; the token before, the text after and the brackets around give each reading its
-cost and the cheaper one is taken. Spaceless scripts: the characters behind a gap are
-segmented by a dictionary word lattice, and the gap is classified by the word that opens
-the text behind it and by the final particle before it. A line end always ends a unit.
+Spaced scripts: the token before a run of terminators, the text after it and the brackets
+around decide. A line end always ends a unit.
+
+Spaceless scripts: every run of Chinese or Japanese letters is segmented by the cheapest path
+through a word lattice, and each gap behind a word, with or without a blank, is scored by the
+kind of the word before (final particle, closing word, particle or verb that wants more) and
+of what opens behind it. The dictionary is a hand-made list of function words, openers and
+closing words (`_KINDS`), not a general one: where a mark is lost between two words that it
+does not hold, the gap stays inside the unit. In Thai a blank between two Thai letters ends.
 
 Defined results: null, empty and blank texts have no unit; rows are handled one by one,
 so repeated rows give repeated units and the order of rows does not matter.
@@ -12,6 +16,7 @@ so repeated rows give repeated units and the order of rows does not matter.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -21,28 +26,17 @@ from pyspark.sql import functions as F
 
 _THAI = "ก-ฮะ-ฺเ-๎"
 _STOP = ".!?…。！？｡।॥"
-#: Words that close a sentence of a spaceless script, and words that open one: where both
-#: meet, the text has lost its mark and the gap between them ends the unit.
-_CLOSING = (
-    "申请 电话 档案 问题 除外 服务点 成员 送到 索取 空档 费用 元 任何人 吗 拒绝 "
-    "です ます ました ません でしょうか ましょう ください 言った 本当に か"
-).split()
-_OPENING = "如果 为什么 请 他说 她说 他们 我们 业务员 真的 因为 但是 客户 “ 「 『 彼 彼女 暗証 証券 解約 本当 しかし".split()
-_LOST = (
-    f"(?:(?:{'|'.join(x for x in _CLOSING if x not in ('か', '本当に'))})(?=[A-Z]|{'|'.join(_OPENING)})"
-    f"|(?:{'|'.join(_CLOSING)})[^\\S\n]+(?=[A-Z぀-鿿])|(?<=了)[\\d.,]+[%％](?=[A-Z“]|{'|'.join(_OPENING)}))"
-)
 _PLAIN = f"[\"“‘「『(（\n{_STOP}][{_STOP}]*"
 _THAI_GAP = f"(?<=[{_THAI}])[^\\S\n]+(?=[{_THAI}])"
 _NODES = re.compile(_PLAIN)
 _NODES_THAI = re.compile(f"{_PLAIN}|{_THAI_GAP}")
-_NODES_CJK = re.compile(f"{_PLAIN}|{_LOST}|{_THAI_GAP}")
 _IN_THAI, _IN_CJK = re.compile("[ก-๎]"), re.compile("[぀-鿿]")
 _PARTNER = {"“": "”", '"': '"', "‘": "’", "「": "」", "『": "』", "(": ")", "（": "）"}
 _STOPS = frozenset(_STOP)
+_FIRST = frozenset("\"“‘「『(（\n" + _STOP)
 _FULL = frozenset("。！？｡।॥")
 _CLOSERS = frozenset("\"'”’»)]」』）】")
-_WORD_BEFORE = re.compile(r"[^\s(\[\"'“‘「（,;:]*\Z")
+_BEFORE_WORD = re.compile(r".*[\s(\[\"'“‘「（,;:]", re.S)
 _NUMBERING = re.compile(r"[\W_]*(?:\d{1,4}|[ivxlIVXL]{1,5}|[A-Za-z])\Z")
 _INITIALS = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]\Z")
 _NAME_LIKE = re.compile(r"[a-z]-[a-z]|[a-z]{1,2}[A-Z]")
@@ -62,26 +56,118 @@ TRAILING = frozenset(
 #: Words of spaceless scripts with which a sentence goes on behind a quotation.
 _CARRY_ON = frozenset("と という って の を は が に など 是 随后 然后 的 之后 并 这 这句话 等 又 再".split())
 _CARRY_ON_SPACED = re.compile("(?:और|कहकर|ऐसा|यह|के|का|की|को|से|पर|तो|एवं|बोला|बोली|बोले|कहा|पूछा)(?![\u0900-\u097f])")
-_LEXICON = _CARRY_ON | frozenset("但是 可是 所以 因为 如果 我们 他们 业务员 客户 请 本当 しかし また そして 証券 解約 書類 支店 这份 这个 等待期".split())
-_FINALS = frozenset("吗 呢 了 吧 啊 す た か ね よ い ครับ ค่ะ คะ".split())
+#: The dictionary of the word lattice, by what a word is where it stands before a gap and behind it.
+_KINDS = {
+    # final particles and polite endings
+    "final": "です ます ました ません でした ましょう でしょう ください ですか ますか ましたか ませんか でしたか でしょうか ましょうか ませんでした 吗 呢 吧 真的吗 是吗 好吗",
+    # a question or remark of its own before a blank
+    "maybe": "か 本当に 本当 真的",
+    # words after which a clause is complete
+    "closing": "申请 电话 档案 问题 除外 服务点 成员 送到 索取 空档 费用 元 任何人 拒绝 保单 保费 合同 条款 账户 资料 文件 材料 手续 医院 窗口 分公司 网点 期限 金额 利息 "
+    "密码 签名 发票 收据 证明 身份证 银行卡 言った 答えた 聞いた 述べた 时间 地址 日期 原因 结果 情况 办法 责任 范围 完毕 生效 失效 为止 以内 以上 以下 之内 之后 之前 受益人 被保险人",
+    # what wants something behind it, and what does but may also open a clause
+    "wanting": "的 地 得 在 是 和 与 或 把 被 向 对 给 从 到 为 以 及 并 而 不 也 都 就 还 要 会 能 可 将 已 每 最 该 此 这 那 个 只 才 又 再 很 更 听 据 了 着 过 于 由 跟 比 让 使 "
+    "が の を に は へ で も や から まで より など として について による という",
+    "verb": "联系 挂断 关闭 告诉 担心 处理 知道 说明 解释 明白 询问 了解 提供 提交 填写 支付 赔付 购买 办理 写道 问 说 关于 通过 根据 按照 随后 然后 以及 并且 或者 还是 而且 不是 就是 不要 必须 可以 需要 应当",
+    # what carries a clause on behind a final
+    "carry": "と って ので のに けど けれど けれども し ね よ わ さ とき こと もの ため ほど くらい 随后 然后 的 之后 并 这 这句话 等 又 再 、",
+    # what opens a clause anywhere, and what does so behind a closing word only
+    "opener": "如果 为什么 他说 她说 但是 可是 真的吗 怎么办 しかし けれども それでは",
+    "perhaps": "请 真的 业务员 客户 我们 他们 因为 所以 本当に 本当 彼 彼女 彼は 彼女は また そして もし なお ただし この その 証券 証券番号 暗証 暗証番号 解約 書類 手術 受取人 保険料 这份 这个",
+    # words that only keep their letters together
+    "plain": "邀请 请求 请假 聘请 请问 证券 番号 支店 か月 か所 か国 ところ 等待期 单元 元旦 元年 多元 了解 问题 吗啡 酒吧 吧台",
+}
+_KIND = {kind: frozenset(words.split()) for kind, words in _KINDS.items()}
+_LEXICON = _CARRY_ON.union(*_KIND.values())
+_LONGEST = max(map(len, _LEXICON))
+_BEFORE = {"wanting": -4, "verb": -4, "final": 4, "closing": 2, "maybe": 1}
+_BEHIND = {"carry": -5, "wanting": -4, "opener": 2, "perhaps": 1}
+_RUN = re.compile("[぀-ヿ㐀-鿿々]+")
+_DONE = re.compile(r"(?<=了)[\d.,]+[%％]")
 
 
 def _spaceless(char: str) -> bool:
     return "぀" <= char <= "鿿" or "豈" <= char <= "﫿" or "฀" <= char <= "๿"
 
 
+@functools.lru_cache(maxsize=100_000)
+def _words(run: str) -> tuple[int, ...]:
+    """Ends of the words on the cheapest path through the word lattice of a run: a word of the
+    dictionary costs 1, an unknown character 2, the longer of two words wins."""
+    best: list[tuple[int, int]] = [(0, 0)] * (len(run) + 1)
+    for i in range(len(run) - 1, -1, -1):
+        choice = (best[i + 1][0] + 2, -(i + 1))
+        for j in range(i + 1, min(len(run), i + _LONGEST) + 1):
+            if run[i:j] in _LEXICON:
+                choice = min(choice, (best[j][0] + 1, -j))
+        best[i] = choice
+    ends, at = [], 0
+    while at < len(run):
+        at = -best[at][1]
+        ends.append(at)
+    return tuple(ends)
+
+
 def _first_word(text: str, at: int, reach: int = 8) -> str:
-    """The first word of the cheapest path through the word lattice of the next characters:
-    a word of the dictionary costs 1, an unknown character 2."""
     window = text[at : at + reach]
-    best: list[tuple[int, int]] = [(0, 0)] * (len(window) + 1)
-    for i in range(len(window) - 1, -1, -1):
-        choice = (best[i + 1][0] + 2, i + 1)
-        for j in range(i + 1, min(len(window), i + 4) + 1):
-            if window[i:j] in _LEXICON and (best[j][0] + 1, -j) < (choice[0], -choice[1]):
-                choice = (best[j][0] + 1, j)
-        best[i] = choice
-    return window[: best[0][1]] if window else ""
+    return window[: _words(window)[0]] if window else ""
+
+
+def _score(word: str, scores: dict[str, int]) -> int | None:
+    return next((score for kind, score in scores.items() if word in _KIND[kind]), None)
+
+
+@functools.lru_cache(maxsize=100_000)
+def _inner_gaps(run: str) -> tuple[tuple[int, ...], int | None, int | None]:
+    """Gaps inside a run that end a unit, and the scores of its last and first word."""
+    ends, found, start = _words(run), [], 0
+    words = []
+    for end in ends:
+        words.append(run[start:end])
+        start = end
+    for left, right, at in zip(words, words[1:], ends):
+        before = _score(left, _BEFORE) or 0
+        if before >= 0:
+            behind = _score(right, _BEHIND)
+            if behind is None:
+                behind = -4 if "぀" <= right <= "ゟ" else -2  # unknown hiragana carries a word on
+            if before + behind >= 2:
+                found.append(at)
+    return tuple(found), _score(words[-1], _BEFORE), _score(words[0], _BEHIND)
+
+
+def _lost_marks(text: str) -> list[tuple[int, int]]:
+    """End of the word before and start of the text behind every gap that ends a unit without a mark."""
+    found = []
+    runs = list(_RUN.finditer(text))
+    for k, run in enumerate(runs):
+        at, stop = run.span()
+        inner, before, _ = _inner_gaps(run[0])
+        found += [(at + gap, at + gap) for gap in inner]
+        after = stop
+        while after < len(text) and text[after].isspace() and text[after] != "\n":
+            after += 1
+        if after < len(text):
+            blank = after > stop
+            behind = None
+            if "A" <= text[after] <= "Z" or not blank and text[after] in "“「『":
+                behind = 0
+            elif blank and k + 1 < len(runs) and runs[k + 1].start() == after:
+                behind = _inner_gaps(runs[k + 1][0])[2] or 0
+            if behind is not None and (before or 0) + behind + blank >= 2:
+                found.append((stop, after))
+    for done in _DONE.finditer(text):
+        after = done.end()
+        follows = text[after : after + 1]
+        if "A" <= follows <= "Z" or follows == "“" or (run := _RUN.match(text, after)) and (_inner_gaps(run[0])[2] or 0) > 0:
+            found.append((after, after))
+    return found
+
+
+def _word_before(text: str, line: int, start: int) -> str:
+    least = max(line, start - 40)
+    found = _BEFORE_WORD.match(text, least, start)
+    return text[found.end() if found else least : start]
 
 
 def _ends(text: str, line: int, start: int, stop: int, after: int, closed: bool) -> bool:
@@ -107,7 +193,7 @@ def _ends(text: str, line: int, start: int, stop: int, after: int, closed: bool)
     if "!" in marks or "?" in marks:
         return (spaced and following not in ",;:") or following.isupper() or _spaceless(following)
     # a single full stop
-    word = _WORD_BEFORE.search(text, max(line, start - 40), start)[0]
+    word = _word_before(text, line, start)
     head, dot, tail = word.rpartition(".")
     if dot and not _INITIALS.match(word) and word.lower() not in LEADING and len(head) > 1 and not tail.isdigit():
         word = tail  # the blank after the sentence before is missing
@@ -155,24 +241,27 @@ def sentence_starts(text: str | None) -> list[int]:
     at = visible(0)
     if at < size and text[at] != "\n":
         starts.append(at)
-    nodes = _NODES if text.isascii() else _NODES_CJK if _IN_CJK.search(text) else _NODES_THAI if _IN_THAI.search(text) else _NODES
+    nodes = _NODES if text.isascii() or not _IN_THAI.search(text) else _NODES_THAI
+    found = map(re.Match.span, nodes.finditer(text))
+    if not text.isascii() and _IN_CJK.search(text) and (lost := _lost_marks(text)):
+        found = sorted([*found, *((a - 1, b) for a, b in lost)])
     skip = 0
-    for node in nodes.finditer(text):
-        start, stop = node.span()
+    ways: list[int] = []
+    for start, stop in found:
         if start < skip:
             continue
         first = text[start]
         if first == "\n":
+            if ways:
+                starts += ways
+                ways = []
             line = start + 1
             at = visible(line)
             if at < size and text[at] != "\n":
                 starts.append(at)
             continue
-        if isspace(first):
-            starts.append(stop)
-            continue
-        if first.isalnum():
-            starts.append(visible(stop))
+        if first not in _FIRST:
+            ways.append(stop)
             continue
         closed = False
         if first in _PARTNER:
@@ -203,9 +292,10 @@ def sentence_starts(text: str | None) -> list[int]:
             after += 1
             closed = True
         after = visible(after)
-        if after < size and text[after] != "\n" and _ends(text, line, start, end, after, closed):
-            starts.append(after)
-    return starts
+        if after < size and text[after] != "\n":
+            if _ends(text, line, start, end, after, closed):
+                ways.append(after)
+    return starts + ways
 
 
 def split_sentences(text: str | None) -> list[str]:

@@ -385,6 +385,22 @@ def test_sentence_boundaries(marked):
     assert sentences.split_sentences(joiner.join(parts)) == parts
 
 
+@pytest.mark.parametrize(
+    "marked",
+    [
+        "請求を受け付けました|受取人は家族です|手術費用は払いますが上限があります",
+        "支店で手続きができます|来月から新しい商品を販売します",
+        "您收到保单了吗|联系网点可以办理变更",
+        "客户已经提交了全部资料|如果丢失请重新填写",
+        "我们会尽快处理您的申请|请等待通知",
+        "他向我们说明为什么需要等待三个月",
+        "待機期間は29か月で、事故には適用されません",
+    ],
+)
+def test_lost_marks_between_any_words(marked):
+    assert sentences.split_sentences(marked.replace("|", "")) == marked.split("|")
+
+
 def test_lines_blanks_and_missing_blanks(spark):
     assert sentences.sentence_starts("  One.\n\n \r\nTwo.Three is here. \n") == [2, 11, 15]
     assert sentences.sentence_starts("It ended as well.Fig. 4 and pp. 2-9 show it.") == [0, 17]
