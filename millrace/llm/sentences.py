@@ -1,7 +1,9 @@
 """Sentence units across languages and scripts.
 
-Spaced scripts: the token before a run of terminators, the text after it and the brackets
-around decide. A line end always ends a unit.
+Terminator lattice: every run of terminators is a node with two readings, "ends" and "goes
+on"; the token before, the text after and the brackets around give each reading its cost.
+The nodes of a line are weighed together: the cheapest path through them is taken, on which
+an end before a lone abbreviation costs extra. A line end always ends a unit.
 
 Spaceless scripts: every run of Chinese or Japanese letters is segmented by the cheapest path
 through a word lattice, and each gap behind a word, with or without a blank, is scored by the
@@ -84,6 +86,8 @@ _BEFORE = {"wanting": -4, "verb": -4, "final": 4, "closing": 2, "maybe": 1}
 _BEHIND = {"carry": -5, "wanting": -4, "opener": 2, "perhaps": 1}
 _RUN = re.compile("[぀-ヿ㐀-鿿々]+")
 _DONE = re.compile(r"(?<=了)[\d.,]+[%％]")
+#: Costs: of a reading that the text rules out, and of an end that leaves an abbreviation alone.
+_RULED_OUT, _ALONE = 9, 4
 
 
 def _spaceless(char: str) -> bool:
@@ -164,12 +168,55 @@ def _lost_marks(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def _cheapest(nodes: list[tuple[int, int, int, int]]) -> list[int]:
+    """Where units start on the cheapest path through the terminators of a line. A node is the place
+    behind it, the costs of "ends" and of "goes on", and what an end at the node before costs; if this
+    one is an end as well, that costs it twice."""
+    ends, on = 0, 1_000_000  # the line's start is an end
+    back: list[tuple[bool, bool]] = []  # per reading of this node, whether the one before ends
+    for _, end_cost, on_cost, lone in nodes:
+        back.append((ends + 2 * lone <= on, ends + lone <= on))
+        ends, on = min(ends + 2 * lone, on) + end_cost, min(ends + lone, on) + on_cost
+    ended, starts = ends <= on, []
+    for (after, *_), (behind_end, behind_on) in zip(reversed(nodes), reversed(back)):
+        if ended:
+            starts.append(after)
+        ended = behind_end if ended else behind_on
+    return starts[::-1]
+
+
 def _word_before(text: str, line: int, start: int) -> str:
     least = max(line, start - 40)
     found = _BEFORE_WORD.match(text, least, start)
     return text[found.end() if found else least : start]
 
 
+def _doubt(text: str, line: int, start: int, stop: int, closed: bool) -> int:
+    """Cost of the reading that `_ends` rejects: less behind what may be an abbreviation."""
+    if closed or text[start:stop] != ".":
+        return _RULED_OUT
+    word = _word_before(text, line, start)
+    return 2 if word.lower() in TRAILING or _INITIALS.match(word) or len(word) == 1 and word.isupper() else _RULED_OUT
+
+
+def _path(text: str, line: int, nodes: list[tuple[int, bool, int, int, bool]]) -> list[int]:
+    """Where units start behind the marks of a line: place behind, whether the mark alone ends a unit,
+    start, stop and `closed` of each node."""
+    begins = [_visible(text, line), *(node[0] for node in nodes)]
+    ways = []
+    for begin, (after, ends, start, stop, closed) in zip(begins, nodes):
+        lone = _ALONE if text[begin:start].lower() in TRAILING else 0
+        doubt = _doubt(text, line, start, stop, closed)
+        ways.append((after, 0, doubt, lone) if ends else (after, doubt, 0, lone))
+    return _cheapest(ways)
+
+
+def _visible(text: str, at: int) -> int:
+    while at < len(text) and text[at].isspace() and text[at] != "\n":
+        at += 1
+    return at
+
+
 def _ends(text: str, line: int, start: int, stop: int, after: int, closed: bool) -> bool:
     """Whether the terminators text[start:stop] end a sentence; text[after] is the next visible
     character, `closed` tells that a bracket or quotation mark stands between."""
@@ -246,22 +293,25 @@ def sentence_starts(text: str | None) -> list[int]:
     if not text.isascii() and _IN_CJK.search(text) and (lost := _lost_marks(text)):
         found = sorted([*found, *((a - 1, b) for a, b in lost)])
     skip = 0
-    ways: list[int] = []
+    # the marks of the line, and whether one is an abbreviation that an end would leave alone: only then
+    # do they depend on each other, else the cheapest path is the cheaper reading of each
+    ways: list[tuple[int, bool, int, int, bool]] = []
+    lone = False
     for start, stop in found:
         if start < skip:
             continue
         first = text[start]
         if first == "\n":
             if ways:
-                starts += ways
-                ways = []
+                starts += _path(text, line, ways) if lone else [way[0] for way in ways if way[1]]
+                ways, lone = [], False
             line = start + 1
             at = visible(line)
             if at < size and text[at] != "\n":
                 starts.append(at)
             continue
         if first not in _FIRST:
-            ways.append(stop)
+            ways.append((stop, True, start, stop, True))
             continue
         closed = False
         if first in _PARTNER:
@@ -293,9 +343,10 @@ def sentence_starts(text: str | None) -> list[int]:
             closed = True
         after = visible(after)
         if after < size and text[after] != "\n":
-            if _ends(text, line, start, end, after, closed):
-                ways.append(after)
-    return starts + ways
+            begin = ways[-1][0] if ways else starts[-1]
+            lone = lone or start - begin < 12 and text[begin:start].lower() in TRAILING
+            ways.append((after, _ends(text, line, start, end, after, closed), start, end, closed))
+    return starts + (_path(text, line, ways) if lone else [way[0] for way in ways if way[1]])
 
 
 def split_sentences(text: str | None) -> list[str]:

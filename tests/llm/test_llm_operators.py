@@ -401,6 +401,14 @@ def test_lost_marks_between_any_words(marked):
     assert sentences.split_sentences(marked.replace("|", "")) == marked.split("|")
 
 
+def test_marks_of_a_line_are_weighed_together():
+    for parts in (["Zed Pvt. Ltd. pays it.", "Older cards work."], ["It is out.", "Min. 5 members join."], ["The bill went to Zed Ltd.", "Nobody paid it."]):
+        assert sentences.split_sentences(" ".join(parts)) == parts
+    # cheaper on its own, an end at the first node leaves an abbreviation alone
+    assert sentences._cheapest([(5, 0, 2, 0), (9, 2, 0, 4), (20, 0, 9, 0)]) == [20]
+    assert sentences._cheapest([(5, 0, 2, 0), (9, 2, 0, 0), (20, 0, 9, 0)]) == [5, 20]
+
+
 def test_lines_blanks_and_missing_blanks(spark):
     assert sentences.sentence_starts("  One.\n\n \r\nTwo.Three is here. \n") == [2, 11, 15]
     assert sentences.sentence_starts("It ended as well.Fig. 4 and pp. 2-9 show it.") == [0, 17]
