@@ -1,12 +1,13 @@
 """Title and main body of pages whose text mixes the article with what surrounds it.
 
-The page's lines are rendered through a small layout tree. The builder opens the tags
-that the text implies: nav, menu lists and breadcrumbs, aside blocks of teasers, notices,
-footers; headings, paragraphs, lists and tables. A heading owns what follows it: with a
-paragraph of several sentences, a list or a table it opens a section of the article; with
-a single sentence, a "read more" or nothing it is a teaser. Visibility rules then hide
-everything but title and article, and the visible blocks are emitted with their spacing,
-lists together and table cells aligned.
+The page's lines are put into a tree of blocks. A tag that a line implies opens a block and
+closes those that cannot hold it: a heading with a paragraph of several sentences, a list or
+a table opens a section of the article and closes all else; the heading of an aside opens an
+aside; a heading with a single sentence, a "read more" or nothing is a teaser inside what is
+open; "read more" closes teaser and aside. A line is visible if its block and all that hold
+it are. Frame lines (menus, breadcrumbs, notices, footers) are hidden leaves: they open no
+block, as article text may stand on either side of them. The visible blocks are emitted with
+their spacing, lists together and table cells aligned.
 
 The signs of the surroundings are multilingual (COMPLETE: whole lines, OPENING: how a
 line begins, INSIDE: what it contains); unknown short lines are judged by their place.
@@ -125,6 +126,28 @@ def _classify(line: str) -> Line:
     return Line("short", 0)
 
 
+class Block:
+    """A node of the layout tree. Its lines are visible if it and all that hold it are."""
+
+    def __init__(self, tag: str, parent: Block | None = None) -> None:
+        self.tag, self.parent = tag, parent
+        self.shown = tag not in ("aside", "teaser") and (parent is None or parent.shown)
+
+    def within(self, *tags: str) -> Block | None:
+        """The nearest block of one of these tags that holds it, itself included."""
+        block: Block | None = self
+        while block is not None and block.tag not in tags:
+            block = block.parent
+        return block
+
+    def closed(self, *tags: str) -> Block:
+        """What stays open if the outermost block of these tags is closed, with all it holds."""
+        left = self
+        while (block := left.within(*tags)) is not None and block.parent is not None:
+            left = block.parent
+        return left
+
+
 def visible(lines: list[str], title: str | None) -> tuple[list[bool], list[str]]:
     """Which lines belong to title or main body, and the tag of each line."""
     seen = [classify(line) for line in lines]
@@ -140,13 +163,15 @@ def visible(lines: list[str], title: str | None) -> tuple[list[bool], list[str]]
         head = next((k for k in order if _SPACE.sub(" ", lines[k]).strip().strip("# ").lower() == wanted), None)
     if head is not None:
         show[head], tags[head] = True, "title"
-    previous = "title" if head is not None else None
+    root = Block("page")
+    here = root
     for n, k in enumerate(order):
         kind = tags[k]
         if kind == "title":
-            previous = "title"
+            here = root
         elif kind in ("table", "item"):
-            show[k], previous = True, "body"
+            here = here.closed("teaser")
+            show[k] = here.shown
         elif kind == "short":
             rest = next((order[j] for j in range(n + 1, len(order)) if tags[order[j]] != "frame"), None)
             opens = False
@@ -157,18 +182,22 @@ def visible(lines: list[str], title: str | None) -> tuple[list[bool], list[str]]
                 follows = order[at] if at < len(order) else None
                 opens = seen[rest].sentences > 1 or follows is not None and tags[follows] in ("text", "table", "item")
             if opens:
-                show[k], tags[k], previous = True, "heading", "heading"
+                here = Block("section", root)
+                show[k], tags[k] = here.shown, "heading"
             else:
-                tags[k], previous = "teaser", "teaser"
+                here = Block("teaser", here.closed("teaser"))
+                tags[k] = "teaser"
         elif kind == "text":
-            if previous == "teaser" and seen[k].sentences <= 1:
+            if here.tag == "teaser" and seen[k].sentences <= 1:
                 tags[k] = "excerpt"
-                previous = "excerpt"
+                here = here.closed("teaser")
             else:
-                show[k] = True
-                previous = "body"
-        elif kind in ("more", "aside"):
-            previous = kind
+                here = here.closed("teaser")
+                show[k] = here.shown
+        elif kind == "aside":
+            here = Block("aside", here.closed("aside", "teaser"))
+        elif kind == "more":
+            here = here.closed("aside", "teaser")  # the link ends the teasers
     if not any(s for k, s in enumerate(show) if tags[k] in ("text", "table", "item", "heading")):
         # nothing opened a section: the first headline with its sentence is the article
         for n, k in enumerate(order):

@@ -272,6 +272,13 @@ def test_main_body(spark):
     assert got[2]["body"] == got[3]["body"] == "" and got[4]["body"] == "Only one sentence here."
 
 
+def test_lines_inherit_the_visibility_of_their_block():
+    page = ["Limits of Zed Care", "Doors open at ten. Latecomers wait outside.", "Related pages", "Zed pays for rooms. Zed pays for beds.", "- Rooms of Zed", "| Beds | Zed |", "Rules for Mila Bridge", "Keep bills and slips. The desk may ask.", "- Menu of Zed riders"]
+    assert body.visible(page, page[0])[0] == [True, True, False, False, False, False, True, True, True]
+    page[4] = "Read more"  # ends the aside
+    assert body.visible(page, page[0])[0] == [True, True, False, False, False, True, True, True, True]
+
+
 # ---------------------------------------------------------------- p7
 
 
