@@ -37,28 +37,36 @@ def lines(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(plain, "\n", -1))
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, blanks to one, other signs to a blank, ends trimmed, in this order."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SPACE, " "), "[^a-z0-9 ]+", " "))
+#: Letters of scripts without blanks, each a word of its own in the Unicode variant of shingles.
+SPACELESS = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]\p{M}*)"
 
 
-def fingerprint(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+def canonical(text: Column, unicode: bool = False) -> Column:
+    """Lower case, blanks to one, other signs to a blank, ends trimmed, in this order. Letters and
+    digits are a-z and 0-9; with `unicode` those of every script."""
+    other = r"[^\p{L}\p{M}\p{N} ]+" if unicode else "[^a-z0-9 ]+"
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SPACE, " "), other, " "))
+
+
+def fingerprint(text: Column, unicode: bool = False) -> Column:
+    return F.sha2(canonical(text, unicode), 256)
 
 
 def checksum(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
-def shingles(text: Column, size: int = fixed.SHINGLE_WORDS) -> Column:
+def shingles(text: Column, size: int = fixed.SHINGLE_WORDS, unicode: bool = False) -> Column:
     """Distinct word windows of the canonical text; a shorter text is one shingle, an empty one has none."""
+    plain = canonical(text, unicode)
+    plain = F.regexp_replace(plain, SPACELESS, " $1 ") if unicode else plain
 
     def windows(tokens: Column) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.size(tokens) - size + 1), lambda i: F.array_join(F.slice(tokens, i, size), " "))
         short = F.when(F.size(tokens) == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(tokens, " ")))
         return F.when(F.size(tokens) < size, short).otherwise(F.array_distinct(each))
 
-    return let(F.filter(F.split(canonical(text), " +"), lambda w: w != ""), windows)
+    return let(F.filter(F.split(plain, " +"), lambda w: w != ""), windows)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -130,3 +130,12 @@ def test_normalize(spark):
         assert one(spark, None, function) is None
     counted = one(spark, "copay, Copay and NCB", normalize.term_counts)
     assert counted == {"copay -> co-payment": 2, "NCB -> no claim bonus": 1}
+
+
+def test_unicode_fingerprints_and_shingles(spark):
+    rows = [("यह योजना Zed 1",), ("वह बीमा Zed 1",), ("保险 Zed 1",), ("Zed 1",)]
+    df = spark.createDataFrame(rows, "t string")
+    assert df.select(text.fingerprint(F.col("t"))).distinct().count() == 1
+    assert df.select(text.fingerprint(F.col("t"), unicode=True)).distinct().count() == 4
+    got = [x[0] for x in df.select(text.shingles(F.col("t"), 2, unicode=True)).collect()]
+    assert got == [["यह योजना", "योजना zed", "zed 1"], ["वह बीमा", "बीमा zed", "zed 1"], ["保 险", "险 zed", "zed 1"], ["zed 1"]]
