@@ -2,9 +2,11 @@
 
 A summary holds sorted values, each with the interval of ranks it may have. A task makes
 one summary per group, keeps only the values that the permitted uncertainty needs, and
-ships it; summaries of a group are merged at once (rank bounds add up), compressed again,
-and the days are merged to the whole period from their daily summaries. The rank
-intervals are carried along, so that each result states the error it may have.
+ships it. Summaries of a group are merged in levels of FAN tasks each (rank bounds add up)
+and compressed again at every level, so that no task holds more than FAN summaries of a
+group, however many tasks there were; the permitted uncertainty grows from level to level.
+The days are merged to the whole period from their daily summaries. The rank intervals are
+carried along, so that each result states the error it may have.
 
 Defined results: nulls and NaN are no values (infinities are); a null group is a group;
 groups without a value have no row; ties are kept as equal values; a trace delivered
@@ -13,6 +15,7 @@ twice counts once, rows without trace id count each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Tasks whose summaries of a group are merged in one list.
+FAN = 64
+
 
 class Summary:
     """Sorted values with the lowest and highest rank (from 1) each may have among n."""
@@ -39,19 +45,15 @@ class Summary:
         parts = [p for p in parts if p.n]
         if len(parts) < 2:
             return parts[0] if parts else cls.of(np.empty(0))
+        # passing a value of a part changes what that part adds to both bounds of every later place
         values = np.concatenate([p.values for p in parts])
-        owner = np.repeat(np.arange(len(parts)), [len(p.values) for p in parts])
+        low_steps = np.concatenate([np.diff(p.low, prepend=0) for p in parts])
+        high_steps = np.concatenate([np.diff(p.high, append=p.n + 1) for p in parts])
         order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
-        low, high = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
-        for k, p in enumerate(parts):
-            seen = np.cumsum(owner == k)  # how many values of p stand at or before each place
-            own = owner == k
-            before = np.concatenate([[0], p.low])
-            behind = np.concatenate([p.high, [p.n + 1]])
-            low += before[seen]
-            high += np.where(own, p.high[np.maximum(seen - 1, 0)], behind[seen] - 1)
-        return cls(values, low, high, sum(p.n for p in parts))
+        low = np.cumsum(low_steps[order])
+        high = sum(int(p.high[0]) - 1 for p in parts) + np.cumsum(high_steps[order])
+        high += 1 - high_steps[order]  # its own part bounds a value by its rank, not by that of the value behind it
+        return cls(values[order], low, high, sum(p.n for p in parts))
 
     def at(self, share: float) -> tuple[float, int]:
         """The value for a percentile, and by how many ranks it may be wrong at most."""
@@ -83,8 +85,8 @@ class Summary:
 
 
 def summarize(df: DataFrame, groups: dict[str, Column], values: dict[str, Column], error: float = 0.01) -> DataFrame:
-    """One summary row per group and value column: the groups, metric, summary. A quarter of
-    the error is spent in the tasks and a quarter in the merge."""
+    """One summary row per group and value column: the groups, metric, summary. An eighth of
+    the error is spent in the tasks and three eighths in the levels of the merge."""
     names, metrics = list(groups), list(values)
     picked = df.select(*[c.alias(f"g{k}") for k, c in enumerate(groups.values())], *[c.cast("double").alias(f"v{k}") for k, c in enumerate(values.values())])
     kinds = {name: picked.schema[f"g{k}"].dataType.simpleString() for k, name in enumerate(names)}
@@ -95,7 +97,7 @@ def summarize(df: DataFrame, groups: dict[str, Column], values: dict[str, Column
         size = 0
 
         def flush() -> pa.RecordBatch:
-            rows = [(*group, metrics[m], Summary.of(np.concatenate(parts)).compressed(error / 4).pack()) for (m, *group), parts in held.items()]
+            rows = [(*group, metrics[m], Summary.of(np.concatenate(parts)).compressed(error / 8).pack()) for (m, *group), parts in held.items()]
             held.clear()
             fields = [pa.field(k, t) for k, t in zip(keys, types)] + [pa.field("metric", pa.string()), pa.field("summary", pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [()] * len(fields), fields)], schema=pa.schema(fields))
@@ -126,14 +128,20 @@ def summarize(df: DataFrame, groups: dict[str, Column], values: dict[str, Column
             yield flush()
 
     schema = ", ".join([*(f"{k} {t}" for k, t in zip(keys, kinds.values())), "metric string", "summary binary"])
-    out = merge(picked.mapInArrow(local, schema), [*keys, "metric"], error / 4)
+    tasks = picked.mapInArrow(local, schema).withColumn("_part", F.spark_partition_id())
+    parts = picked.rdd.getNumPartitions()  # a bound: the plan's partitions, which can only be coalesced when it runs
+    levels = max(1, math.ceil(math.log(max(parts, 2), FAN)))
+    out = tasks
+    for level in range(1, levels + 1):
+        by = [*keys, "metric"] if level == levels else [*keys, "metric", "_part"]
+        out = merge(out.withColumn("_part", F.floor(F.col("_part") / FAN).cast("int")), by, error / 8 + 3 * error / 8 * level / levels)
     for k, name in zip(keys, names):
         out = out.withColumnRenamed(k, name)
     return out
 
 
 def merge(summaries: DataFrame, by: Sequence[str], share: float) -> DataFrame:
-    """Merge the summaries of each group of `by`; `share` of n is the compression's error."""
+    """Merge the summaries of each group of `by`; `share` of n is the error after the compression."""
     fields = {c: summaries.schema[c].dataType.simpleString() for c in by}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

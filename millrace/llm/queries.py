@@ -40,10 +40,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    traces = table(spark, d, "traces").select("trace_id", "asr_provider", F.to_date("started_wall").alias("day"), "total_ms", F.col("stages")["asr"].alias("asr"))
-    once = traces.where(F.col("trace_id").isNotNull()).dropDuplicates(["trace_id"]).unionByName(traces.where(F.col("trace_id").isNull()))
+    traces = table(spark, d, "traces").select("trace_id", "logged_at", "asr_provider", F.to_date("started_wall").alias("day"), "total_ms", F.col("stages")["asr"].alias("asr"))
+    # of a trace logged more than once the first log counts, ties by its values; rows without trace id count each
+    first = F.min(F.struct("logged_at", "asr_provider", "day", "total_ms", "asr")).alias("t")
+    once = traces.where("trace_id IS NOT NULL").groupBy("trace_id").agg(first).select("t.asr_provider", "t.day", "t.total_ms", "t.asr")
+    once = once.unionByName(traces.where("trace_id IS NULL").drop("trace_id", "logged_at"))
     daily = materialize(quantiles.summarize(once, {"asr_provider": F.col("asr_provider"), "day": F.col("day")}, {"total_ms": F.col("total_ms"), "asr": F.col("asr")}))
-    whole = quantiles.merge(daily, ["asr_provider", "metric"], 0.0025).withColumn("day", F.lit(None).cast("date"))
+    monthly = quantiles.merge(daily.withColumn("month", F.trunc("day", "month")), ["asr_provider", "metric", "month"], 0.00625)
+    whole = quantiles.merge(monthly, ["asr_provider", "metric"], 0.0075).withColumn("day", F.lit(None).cast("date"))
     both = daily.withColumn("period", F.lit("day")).unionByName(whole.withColumn("period", F.lit("all")))
     return quantiles.read_off(both, _SHARES)
 
