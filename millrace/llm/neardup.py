@@ -6,7 +6,7 @@ from rare to frequent; two sets above the threshold share a sequence within the
 few of both, so only those are posted. Postings go to tiles by sequence; inside a tile
 the sets of one sequence are banded by size, only sets whose sizes allow the threshold
 meet, and the bit counts of their hashed bitmaps bound the overlap from above. What is
-left is compared exactly by intersecting sorted arrays.
+left is compared exactly by intersecting sorted arrays (of 50-bit codes; sets are named by 64-bit keys).
 
 Defined results: texts with fewer words than a sequence (null, empty and blank ones
 among them) are similar to nothing and are groups of one; a record id delivered twice
@@ -168,7 +168,7 @@ def _postings(df: DataFrame, text: str, width: int, sketch: np.ndarray, tiles: i
                 bits = np.packbits(bits.astype(np.uint8).reshape(len(texts), 128), axis=1).view("<u8")
                 often = counts[(codes & np.uint64(len(counts) - 1)).astype(np.int64)]
                 rank = (row.astype(np.uint64) << np.uint64(50)) | (np.minimum(often, (1 << 22) - 1).astype(np.uint64) << np.uint64(28)) | (codes & np.uint64((1 << 28) - 1))
-                order = np.argsort(rank)
+                order = np.argsort(rank, kind="stable")  # codes come sorted: equal ranks stand in one order in every set
                 row, codes, often = row[order], codes[order], often[order]
                 first = np.concatenate([[True], row[1:] != row[:-1]])
                 place = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
@@ -259,7 +259,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, threshol
         a, b = _meet(group.column("block").to_pylist(), num, den)
         return pa.table({"set_a": pa.array(a.view(np.int64)), "set_b": pa.array(b.view(np.int64))})
 
-    met = _postings(df, text, width, sketch, tiles, num, den).groupBy("tile").applyInArrow(meet, "set_a bigint, set_b bigint")
+    posted_to = _postings(df, text, width, sketch, tiles, num, den).repartition(tiles, "tile")
+    met = posted_to.groupBy("tile").applyInArrow(meet, "set_a bigint, set_b bigint")
     candidates = materialize(met.distinct())
     wanted = candidates.select(F.col("set_a").alias("set_key")).union(candidates.select("set_b")).distinct()
     one = materialize(members.join(wanted, "set_key", "left_semi").groupBy("set_key").agg(F.min("key").alias("key")))
