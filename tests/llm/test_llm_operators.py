@@ -2,10 +2,12 @@
 
 import base64
 import datetime as dt
+import json
 import random
 import re
 import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -156,14 +158,35 @@ def test_levels_of_the_merge(spark, monkeypatch):
 # ---------------------------------------------------------------- p4
 
 
-def test_trees_find_composed_items_held_out():
-    composer, hit, true, said = pii_train.Composer(99), 0, 0, 0
-    for _ in range(600):
-        text, spans, field = composer.passage()
-        got = {(c.kind, c.start, c.stop) for c in pii.find([text], field)[0]}
-        hit, true, said = hit + len(got & set(spans)), true + len(spans), said + len(got)
-    # a quarter of the composed names is in lower case; those without a cue like "name is" are out of reach
-    assert hit / true > 0.93 and hit / said > 0.98
+def test_trees_find_items_in_frames_they_have_not_seen():
+    made = pii_train.passages(77, 700, pii_train.FINAL, pii_train.FALSE_HELD)
+    for kind, (recall, precision) in pii_train.quality(made, pii.model(), pii.model().thresholds).items():
+        assert recall > 0.85 and precision > 0.9, (kind, recall, precision)
+    assert pii.model().trees and json.loads(Path(pii.__file__).with_name("pii_model.json").read_text())["features"] == pii.FEATURES
+
+
+def test_no_frame_of_training_stands_in_the_tables(spark):
+    d = "/root/testdata/sf0.001"
+    columns = (("records", "content"), ("call_turns", "caller"), ("documents", "text"), ("sample_leads", "phone"))
+    text = " ".join("\n".join(r[0] for t, c in columns for r in spark.read.parquet(f"{d}/{t}.parquet").select(c).distinct().collect() if r[0]).split(" "))
+    composer = pii_train.Composer(1)
+    for frame in pii_train.TRAIN + pii_train.FALSE + pii_train.HELD + pii_train.FINAL + pii_train.FALSE_HELD:
+        for chosen in {composer.chosen(frame) for _ in range(6)}:
+            literal = re.sub(r"\{\w\}", "", chosen)
+            if len(literal.strip()) >= 10 and max(re.split(r"\{\w\}", chosen), key=len).strip() in text:
+                pattern = re.sub(r"\\\{(\w)\\\}", lambda m: r"[^\W\d_]+" if m[1] in "wT" else r"[^\n.?!:;]{1,60}?", re.escape(chosen))
+                assert not re.search(pattern, text), chosen
+
+
+def test_items_in_unlike_wording():
+    said = {
+        "Kindly revert to Anjali Deshmukh at x@y.example; her residence is 14B Baker Court, Pune 411001.": {"Anjali Deshmukh", "x@y.example", "14B Baker Court, Pune 411001"},
+        "Patient José García-Márquez, SSN 123-45-6789, phone 555-0134": {"José García-Márquez", "123-45-6789", "555-0134"},
+        "मेरा नाम राहुल वर्मा है": {"राहुल वर्मा"},
+        "agent Mary O'Brien lives at 221B Baker St, London": {"Mary O'Brien", "221B Baker St, London"},
+    }
+    for text, wanted in said.items():
+        assert {text[c.start : c.stop] for c in pii.find([text])[0]} == wanted, text
 
 
 def test_masking_leaves_the_rest(spark):
