@@ -40,21 +40,15 @@ def collapse_repeats(lines: Column) -> Column:
 
 
 def drop_nav_runs(lines: Column, run: int = fixed.NAV_RUN) -> Column:
-    """Without runs of `run` or more navigation-like lines: a fold that holds the open run back."""
-    marked = F.transform(lines, lambda line: F.struct(line.alias("line"), is_navish(line).alias("nav")))
-    zero = F.struct(F.array().cast("array<struct<line:string,nav:boolean>>").alias("kept"), F.array().cast("array<struct<line:string,nav:boolean>>").alias("held"))
+    """Without runs of `run` or more navigation-like lines. Runs are looked for in a string of one sign
+    per line, so the cost grows with the number of lines only."""
+    in_run = "|".join(f"(?<=n{{{k}}})n(?=n{{{run - 1 - k}}})" for k in range(run))
 
-    def step(state: Column, item: Column) -> Column:
-        settled = F.when(F.size(state["held"]) < run, F.concat(state["kept"], state["held"])).otherwise(state["kept"])
-        return F.when(item["nav"], F.struct(state["kept"].alias("kept"), F.concat(state["held"], F.array(item)).alias("held"))).otherwise(
-            F.struct(F.concat(settled, F.array(item)).alias("kept"), F.array().cast("array<struct<line:string,nav:boolean>>").alias("held"))
-        )
+    def kept(own: Column) -> Column:
+        signs = F.array_join(F.transform(own, lambda line: F.when(is_navish(line), "n").otherwise("x")), "")
+        return text.let(F.split(F.regexp_replace(signs, in_run, "d"), ""), lambda marks: F.filter(own, lambda _, k: F.get(marks, k) != "d"))
 
-    def end(state: Column) -> Column:
-        kept = F.when(F.size(state["held"]) < run, F.concat(state["kept"], state["held"])).otherwise(state["kept"])
-        return F.transform(kept, lambda item: item["line"])
-
-    return F.aggregate(marked, zero, step, end)
+    return text.let(lines, kept)
 
 
 def clean_documents(df: DataFrame, body: str = "text", source_type: str = "source_type") -> DataFrame:

@@ -23,19 +23,13 @@ def _forms(variant: str) -> str:
 
 def terms(body: Column, table: dict[str, tuple[str, ...]] = fixed.TERMS) -> Column:
     """Variants replaced by their term, longest first; the letter case of what stood there is kept."""
-    rules = [
-        F.struct(F.lit(_forms(variant)).alias("form"), F.lit(term).alias("term"), F.lit(term.upper()).alias("upper"), F.lit(term[0].upper() + term[1:]).alias("first"))
-        for term, variants in table.items()
-        for variant in sorted(variants, key=len, reverse=True)
-    ]
-
-    def apply(text_so_far: Column, rule: Column) -> Column:
-        like = lambda m: (
-            F.when((F.upper(m) == m) & (F.lower(m) != m) & (F.length(m) > 3), rule["upper"]).when(F.substring(m, 1, 1).rlike(r"\p{Lu}"), rule["first"]).otherwise(rule["term"])
-        )
-        return text.replace_matches(text_so_far, rule["form"], like)
-
-    return F.aggregate(F.array(*rules), body, apply)
+    for term, variants in table.items():
+        for variant in sorted(variants, key=len, reverse=True):
+            like = lambda m, term=term: (
+                F.when((F.upper(m) == m) & (F.lower(m) != m) & (F.length(m) > 3), term.upper()).when(F.substring(m, 1, 1).rlike(r"\p{Lu}"), term[0].upper() + term[1:]).otherwise(term)
+            )
+            body = text.replace_matches(body, _forms(variant), like)  # a literal pattern is compiled once
+    return body
 
 
 def term_counts(body: Column, table: dict[str, tuple[str, ...]] = fixed.TERMS) -> Column:

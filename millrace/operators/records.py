@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed, text
-from millrace.operators import chunk, dedupe, privacy, quality
+from millrace.operators import chunk, dedupe, quality
 
 
 def category(section: Column, content: Column, hint: Column, table: dict[str, tuple[str, ...]] = fixed.CATEGORIES) -> Column:
@@ -49,12 +49,13 @@ def effective_date(body: Column) -> Column:
 
 
 def build_records(documents: DataFrame) -> DataFrame:
-    """Records of documents (doc_id, text, title, source_type, url, category_hint, lang): chunked, the
-    unanswerable left out, classified, masked flags kept, duplicates dropped."""
-    flagged = privacy.scan(documents.select("doc_id", "text")).select("doc_id", F.map_keys("findings").alias("pii_types"))
-    facts = documents.select("doc_id", F.col("title").alias("doc_title"), F.col("url").alias("source_url"), "source_type", "category_hint", "lang", version(F.col("text")).alias("version"), effective_date(F.col("text")).alias("effective_date"))
-    parts = chunk.chunk_documents(documents).where((F.col("kind") == "table") | quality.answerable(F.col("content")))
-    joined = parts.join(facts, "doc_id").join(flagged, "doc_id")
+    """Records of collected documents (doc_id, text, title, source_type, url, category_hint, lang, pii_types):
+    chunked, the unanswerable left out, classified, duplicates dropped. Every record of a document carries
+    the kinds that were masked in it; a null list counts as none. `tables`, if there, is chunked as well."""
+    facts = documents.select("doc_id", F.coalesce("pii_types", F.array().cast("array<string>")).alias("pii_types"), F.col("title").alias("doc_title"), F.col("url").alias("source_url"), "source_type", "category_hint", "lang", version(F.col("text")).alias("version"), effective_date(F.col("text")).alias("effective_date"))
+    apart = "tables" if "tables" in documents.columns else None
+    parts = chunk.chunk_documents(documents, tables=apart).where((F.col("kind") == "table") | quality.answerable(F.col("content")))
+    joined = parts.join(facts, "doc_id")
     named = joined.withColumn("category", category(F.col("section_path"), F.col("content"), F.col("category_hint")))
     last = F.substring(F.element_at(F.split("section_path", " > "), -1), 1, 120)
     records = named.select(

@@ -56,17 +56,29 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     pairs = rows.crossJoin(small(asked, 64)).where("qwidth = vwidth")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best k of the task for each query: blocks are merged as they come, so that a task sends
+        k rows per query (and ties at the cut, which ids decide afterwards), not k per block."""
+        held: dict[tuple, tuple] = {}  # per block of queries: their ids, and ids, scores and queries of the rows kept
         for batch in batches:
+            query_type, id_type = batch.schema.field("qids").type.value_type, batch.schema.field("vids").type.value_type
             for pair in batch.to_pylist():
                 own, wanted = (np.frombuffer(pair[f"{p}matrix"], np.float32).reshape(-1, pair[f"{p}width"]).astype(np.float64) for p in "vq")
                 scores = own @ wanted.T
                 keep = min(k, len(own))
-                # ties at the cut are kept here and decided by id afterwards
                 floor = np.partition(scores, len(own) - keep, axis=0)[len(own) - keep]
                 row, query = np.nonzero(scores >= floor)
-                asked_ids, ids = batch.schema.field("qids").type.value_type, batch.schema.field("vids").type.value_type
-                found = [pa.array([pair["qids"][q] for q in query], asked_ids), pa.array([pair["vids"][r] for r in row], ids), pa.array(scores[row, query])]
-                yield pa.RecordBatch.from_arrays(found, ["query_id", "id", "similarity"])
+                block = (pair["qwidth"], pair["qids"][0], len(pair["qids"]))
+                ids = pa.array(pair["vids"], id_type).take(pa.array(row))
+                _, old_ids, old_scores, old_query = held.get(block, (None, None, np.empty(0), np.empty(0, np.int64)))
+                ids = pa.concat_arrays([old_ids, ids]) if old_ids is not None else ids
+                found, query = np.concatenate([old_scores, scores[row, query]]), np.concatenate([old_query, query])
+                order = np.lexsort((-found, query))
+                begin = np.searchsorted(query[order], np.arange(len(pair["qids"])))
+                cut = np.minimum(begin + k, np.append(begin[1:], len(order))) - 1  # the k-th best of each query, or its last
+                good = order[found[order] >= np.where(cut >= begin, found[order][np.minimum(cut, len(order) - 1)], -np.inf)[query[order]]]
+                held[block] = (pair["qids"], ids.take(pa.array(good)), found[good], query[good])
+        for qids, ids, found, query in held.values():
+            yield pa.RecordBatch.from_arrays([pa.array(qids, query_type).take(pa.array(query)), ids, pa.array(found)], ["query_id", "id", "similarity"])
 
     out = pairs.mapInArrow(search, f"query_id {query_kind}, id {kind}, similarity double")
     order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
@@ -80,8 +92,9 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = fixed.LEXICAL_CANDI
     tokens = docs.select(F.col(key).alias("id"), F.regexp_extract_all(F.lower(F.coalesce(F.col(body), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)).alias("tokens"))
     corpus = tokens.agg(F.count("*").alias("docs"), F.avg(F.size("tokens")).alias("mean"))
     wanted = terms.select("term").distinct()
+    # documents are tokenised twice only: for lengths, and for the counts of query terms, which are a table
     postings = tokens.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("term")).join(small(wanted), "term")
-    postings = postings.groupBy("term", "id", "size").agg(F.count("*").alias("tf"))
+    postings = materialize(postings.groupBy("term", "id", "size").agg(F.count("*").alias("tf")))
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     weighed = postings.join(frequency, "term").crossJoin(F.broadcast(corpus))  # corpus is one row
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))

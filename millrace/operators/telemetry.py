@@ -23,10 +23,22 @@ def stage_durations(df: DataFrame, key: str, marks: str) -> DataFrame:
     return df.select(F.col(key), F.explode(spans).alias("s")).select(key, "s.stage", "s.ms")
 
 
+#: Buckets between the smallest and the largest value of a group.
+BUCKETS = 4096
+
+
 def percentiles(df: DataFrame, group: Sequence[str], value: str, shares: dict[str, float], floor: bool = False) -> DataFrame:
-    """Exact percentiles per group. Values are counted in buckets first; only the buckets that hold a
-    wanted rank are ranked, in windows per bucket, so no group is sorted in one task."""
-    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("v"), F.floor(F.col(value)).alias("bucket"))
+    """Exact percentiles per group. Values are counted in BUCKETS buckets over the range of their group
+    first; only the buckets that hold a wanted rank are ranked, in windows per bucket, so no group is
+    sorted in one task. Ranges are cut on a logarithmic scale around the median's order of magnitude, so
+    that a few extreme values don't push all others into one bucket."""
+    scale = F.signum("v") * F.log1p(F.abs("v") * 1000)
+    plain = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("v")).withColumn("u", scale)
+    ends_ = plain.groupBy(*[F.col(c).alias(f"_{c}") for c in group]).agg(F.min("u").alias("_low"), F.max("u").alias("_high"))
+    matched = _same(plain, list(group), [f"_{c}" for c in group])
+    ranged = plain.join(small(materialize(ends_)), matched) if group else plain.crossJoin(F.broadcast(ends_))  # one row
+    place_ = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("u") - F.col("_low")) / (F.col("_high") - F.col("_low")) * BUCKETS)).otherwise(F.lit(0))
+    rows = ranged.select(*group, "v", place_.cast("bigint").alias("bucket"))
     counted = rows.groupBy(*group, "bucket").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     by = W.partitionBy(*group)
     counted = counted.withColumns({"total": F.sum("n").over(by), "before": F.coalesce(F.sum("n").over(by.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})

@@ -15,22 +15,25 @@ from pyspark.sql import functions as F
 _PACKAGE = Path(__file__).resolve().parent
 
 
-#: Tables whose rows cost much to work on.
+#: Tables whose rows cost much more to work on than to read.
 TEXT_TABLES = frozenset({"documents", "chunks", "records", "call_turns"})
+#: A table of at most so many bytes may be dealt out to more tasks than its files have row groups.
+SPREAD_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables of a data directory; a text table of few splits is spread."""
+    """One of the Parquet tables of a data directory; a tiny text table of few splits is spread."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df) if name in TEXT_TABLES else df
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table that the scan cuts into fewer splits than half the cores is dealt out to all of them;
-    only tables of a few files are that small, any other is left as it is. Filters and columns are
-    still pushed into the scan."""
+    """A table of fewer splits than half the cores and at most SPREAD_BYTES is dealt out to all cores;
+    any larger one is left as the scan cuts it, so that what is shuffled here has a fixed bound. Filters
+    and columns are still pushed into the scan."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+    few = df.rdd.getNumPartitions() * 2 < cores
+    return df.repartition(cores) if few and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES else df
 
 
 def ship(spark: SparkSession) -> None:
