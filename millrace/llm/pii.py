@@ -39,7 +39,7 @@ _WORD = re.compile(r"[^\W_][\w\u0900-\u0963'’/-]*")
 _MASKS = words.masks()
 _CLASS = {name: 1 << bit for bit, name in enumerate(words.CLASSES)}
 _MAIL = re.compile(r"[A-Za-z0-9](?<![\w.+@-].)(?:[\w.+-]*\w)?\s?(?:@|\[at\]|\(at\)|\{at\})\s?[A-Za-z0-9-]+(?:(?:\.|\[dot\]|\(dot\)|\{dot\})[A-Za-z0-9-]+)*(?![\w@])")
-_SAID_MAIL = re.compile(r"[A-Za-z0-9](?<![\w.].)(?=(?P<rest>\w*(?: (?:dot|underscore|dash|hyphen|plus|titik) \w+)* at \w+(?: (?:dash|hyphen) \w+)*(?: (?:dot|titik) \w+)+)(?!\w))", re.I)
+_SAID_MAIL = re.compile(r"[A-Za-z0-9](?<![\w.].)(?=(?P<rest>\w*(?: (?:dot|underscore|dash|hyphen|plus|titik) \w+)* at \w+(?: (?:dash|hyphen) \w+)*(?: (?:dot|titik) \w+)+)(?!\w)(?! at \w+ (?:dot|titik) ))", re.I)
 # numbers begin with a plain class, which the matcher finds fast; what must not stand before is looked back for
 _DIGITS = re.compile(r"[+(\d](?<![\w.,/+@-].)(?:(?<=\+)\d{1,3}[ .-]?|(?<=\d)\d*[ .-]?)?(?:\(?\d{1,5}\)[ .-]?)?\d{1,18}(?:[ .-]\d{1,12}){0,5}(?![\w@]|[,.]\d)")
 _SINGLE_DIGITS = re.compile(r"\d(?<![\w.,/+-].)(?: \d){2,}(?:, ?\d(?: \d){2,})*(?![\w,]?\d)")

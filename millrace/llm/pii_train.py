@@ -76,7 +76,7 @@ i am {n} and [i live in {c}|need a {p}]
 [A letter|Thanks|The reply|Payment|Word] from {N} [came|arrived] [late|today].
 [Lead|Case|File] {I}[: ring|, phone|; mobile] {P} [past|by] {d} [o'clock|am].
 my name is {n}[, from {c}|, i need help| thanks|, mobile {P}]
-[pan|aadhaar|passport|nik|tax no]: {I}[; |, ][address|home]: {A}[; |, |][city: {c}|]
+[tax id|national id|passport no|nik no]: {I}[; |, ][residence|home address]: {A}[; |, |][place: {c}|]
 [my|the] [id|pan|passport] is {I} and [my|our] [house|address|flat] is {A}[, okay|"|, {p} papers|].
 [my|her|the] [id|policy|contract|passport|tax number|policy number|member number] [is|reads|:] {I}
 [speaking|this is {N}|{N} here], [policy|contract|member|id] number {I}.

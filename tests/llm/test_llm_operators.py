@@ -183,7 +183,7 @@ def test_items_in_unlike_wording():
         "Kindly revert to Anjali Deshmukh at x@y.example; her residence is 14B Baker Court, Pune 411001.": {"Anjali Deshmukh", "x@y.example", "14B Baker Court, Pune 411001"},
         "Patient José García-Márquez, SSN 123-45-6789, phone 555-0134": {"José García-Márquez", "123-45-6789", "555-0134"},
         "मेरा नाम राहुल वर्मा है": {"राहुल वर्मा"},
-        "agent Mary O'Brien lives at 221B Baker St, London": {"Mary O'Brien", "221B Baker St, London"},
+        "Our agent Mary O'Brien lives at 221B Baker St, London.": {"Mary O'Brien", "221B Baker St, London"},
     }
     for text, wanted in said.items():
         assert {text[c.start : c.stop] for c in pii.find([text])[0]} == wanted, text
