@@ -115,9 +115,10 @@ def fuse(*rankings: DataFrame, k: int = fixed.RRF_K) -> DataFrame:
 
 def hybrid(
     dense: DataFrame, lexical: DataFrame, facts: DataFrame, queries: DataFrame, threshold: float = fixed.MIN_SIMILARITY, k: int = fixed.TOP_K,
-    slots: int = fixed.RESERVED_SLOTS, margin: float = fixed.AUTHORITY_MARGIN,
+    slots: int = fixed.RESERVED_SLOTS, margin: float = fixed.AUTHORITY_MARGIN, abstained: bool = False,
 ) -> DataFrame:
-    """Hits of each query: query_id, id, similarity, fused, reserved, position, confidence, abstained.
+    """Hits of each query: query_id, id, similarity, fused, reserved, position, confidence. A query whose
+    best similarity is under the threshold has none; with `abstained` its hits are kept and marked.
 
     dense and lexical are rankings over all rows (limits apply before the category filter);
     facts has id, authoritative and category; queries has query_id and category (null: any).
@@ -140,7 +141,8 @@ def hybrid(
     score = F.when(F.col("authoritative"), F.col("similarity")).otherwise(F.round("fused", 12))
     hits = hits.withColumn("position", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("authoritative"), F.desc(score), "id"))).where(F.col("position") <= k)
     hits = hits.withColumn("confidence", F.max("similarity").over(W.partitionBy("query_id")))
-    return hits.select("query_id", "id", "similarity", "fused", F.col("authoritative").alias("reserved"), "position", "confidence", (F.col("confidence") < threshold).alias("abstained"))
+    out = hits.select("query_id", "id", "similarity", "fused", F.col("authoritative").alias("reserved"), "position", "confidence")
+    return out.withColumn("abstained", F.col("confidence") < threshold) if abstained else out.where(F.col("confidence") >= threshold)
 
 
 def abstention(hits: DataFrame, queries: DataFrame, threshold: float = fixed.MIN_SIMILARITY) -> DataFrame:

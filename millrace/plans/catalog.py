@@ -121,7 +121,20 @@ def nav_runs(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(clean.drop_nav_runs(text.lines(F.col("text")))).cast("bigint").alias("kept"))
 
 
-@_query()
+_TIDY = f"{_strip('line_')}".replace("line_", "regexp_replace(line, '[ \t\u00a0]+', ' ', 'g')")
+
+
+@_query(
+    f"""WITH r AS (SELECT doc_id, source_type, unnest({_lines('text')}) AS l, generate_subscripts({_lines('text')}, 1) AS n FROM documents),
+    c AS (SELECT *, lag(lower({_strip('l')})) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM r WHERE NOT {_IS_CHROME}),
+    k AS (SELECT * FROM c WHERE before IS NULL OR before <> lower({_strip('l')})),
+    m AS (SELECT *, {_strip('l')} <> '' AND NOT starts_with({_strip('l')}, '|') AND len({_words('l')}) <= 8 AND NOT regexp_matches({_strip('l')}, '[.!?:;]$') AS nav FROM k),
+    g AS (SELECT *, sum(CASE WHEN nav THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM m),
+    i AS (SELECT *, l AS line, sum(CASE WHEN nav THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, island) AS run FROM g),
+    s AS (SELECT doc_id, count(*) AS lines_out, string_agg({_TIDY}, chr(10) ORDER BY n) AS t FROM i WHERE coalesce(source_type, '') <> 'web_page' OR NOT nav OR run < 3 GROUP BY doc_id)
+    SELECT d.doc_id, d.source_type, {_strip("regexp_replace(coalesce(t, ''), chr(10) || '{3,}', chr(10) || chr(10), 'g')")} AS clean_text,
+    CAST(len({_lines('text')}) AS INTEGER) AS lines_in, CAST(coalesce(lines_out, 0) AS INTEGER) AS lines_out FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id"""
+)
 def clean_documents(spark, d):
     return clean.clean_documents(table(spark, d, "documents").select("doc_id", "text", "source_type")).drop("text")
 
@@ -228,7 +241,14 @@ def normalized_records(spark, d):
     return table(spark, d, "records").select("record_id", normalize.normalize(F.col("content")).alias("content"))
 
 
-@_query()
+# every sign around words is doubled, so that one can be spent on each side of a match
+_SPREAD = r"' ' || regexp_replace(coalesce(content, ''), '([^\w-])', '\1\1', 'g') || ' '"
+_CHANGES = " UNION ALL ".join(
+    f"SELECT {_q(f'{variant} -> {term}')} AS change, len(regexp_extract_all(b, {_q(r'(?i)[^\w-]' + variant.replace(' ', '  ') + r'[^\w-]')})) AS n FROM s" for term, variants in fixed.TERMS.items() for variant in variants
+)
+
+
+@_query(f"WITH s AS (SELECT {_SPREAD} AS b FROM records), c AS ({_CHANGES}) SELECT change, CAST(sum(n) AS BIGINT) AS times FROM c GROUP BY change HAVING sum(n) > 0")
 def term_changes(spark, d):
     counted = table(spark, d, "records").select(F.explode(normalize.term_counts(F.coalesce("content", F.lit("")))).alias("change", "n"))
     return counted.groupBy("change").agg(F.sum("n").alias("times"))
@@ -282,6 +302,16 @@ def corpus_build(spark, d):
     return pipeline.build(stay)
 
 
+@_query("SELECT CAST(0 AS BIGINT) AS differing, true AS some_flagged")
+def corpus_flags_kept(spark, d):
+    """Records of the build whose flags are not those of their document; there must be none."""
+    stay, _ = pipeline.collect(table(spark, d, "documents"))
+    flags = stay.select("doc_id", F.col("pii_types").alias("masked"))
+    joined = pipeline.build(stay).join(flags, "doc_id")
+    differs = ~F.col("pii_types").eqNullSafe(F.col("masked")) | (F.col("pii") != (F.size("masked") > 0))
+    return joined.agg(F.count_if(differs).alias("differing"), (F.count_if("pii") > 0).alias("some_flagged"))
+
+
 @_query()
 def corpus_left_out(spark, d):
     return pipeline.collect(table(spark, d, "documents"))[1]
@@ -355,17 +385,92 @@ def rank_fusion(spark, d):
     return retrieval.fuse(_dense(spark, d, 25), labelled).withColumn("fused", F.round("fused", 9))
 
 
-@_query()
-def hybrid_search(spark, d):
+def _search(spark, d, abstained=False):
+    """Hits of the queries of the documents' titles; every second query asks for its own category."""
     rows = table(spark, d, "records").select(F.col("doc_id").alias("id"), "source_type", "category").groupBy("id").agg(F.max((F.col("source_type") == "internal_document").cast("int")).alias("a"), F.min("category").alias("category"))
-    facts = rows.select("id", (F.col("a") == 1).alias("authoritative"), "category")
+    facts = materialize(rows.select("id", (F.col("a") == 1).alias("authoritative"), "category"))
     titles = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "title", "text").alias("body"))
-    queries = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"), F.lit(None).cast("string").alias("category"))
+    asked = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
+    own = facts.select(F.col("id").alias("query_id"), "category").where("query_id % 100 = 0")
+    queries = materialize(asked.join(own, "query_id", "left"))
     dense = _dense(spark, d, fixed.DENSE_CANDIDATES)
-    hits = retrieval.hybrid(dense, retrieval.bm25_top_k(titles, queries), facts, queries)
+    return retrieval.hybrid(dense, retrieval.bm25_top_k(titles, queries), facts, queries, abstained=abstained), queries
+
+
+_HYBRID = f"""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+    dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM p),
+    q AS (SELECT doc_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda t: length(t) > 1)[1:24])) AS term FROM documents WHERE doc_id % 50 = 0),
+    t AS (SELECT doc_id AS id, regexp_extract_all(lower(concat_ws(' ', title, text)), '[a-z0-9]+') AS w FROM documents),
+    c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t), u AS (SELECT id, len(w) AS size, unnest(w) AS term FROM t),
+    tf AS (SELECT term, id, size, count(*) AS tf FROM u WHERE term IN (SELECT term FROM q) GROUP BY ALL), x AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    s AS (SELECT query_id, tf.id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score
+          FROM tf JOIN x ON x.term = tf.term JOIN q ON q.term = tf.term, c GROUP BY 1, 2),
+    lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s),
+    facts AS (SELECT doc_id AS id, coalesce(bool_or(source_type = 'internal_document'), false) AS authoritative, min(category) AS category FROM records GROUP BY 1),
+    asked AS (SELECT doc_id AS query_id, title AS query, CASE WHEN doc_id % 100 = 0 THEN category END AS wanted FROM documents LEFT JOIN facts ON facts.id = doc_id WHERE doc_id % 50 = 0),
+    own AS (SELECT d.query_id, d.id, similarity, authoritative, row_number() OVER (PARTITION BY d.query_id ORDER BY d.rank) AS rank
+            FROM dense d JOIN facts USING (id) JOIN asked USING (query_id) WHERE d.rank <= {fixed.DENSE_CANDIDATES} AND (wanted IS NULL OR category = wanted)),
+    words AS (SELECT l.query_id, l.id, authoritative, row_number() OVER (PARTITION BY l.query_id ORDER BY l.rank) AS rank
+            FROM lexical l JOIN facts USING (id) JOIN asked USING (query_id) WHERE l.rank <= 25 AND (wanted IS NULL OR category = wanted)),
+    ranked AS (SELECT query_id, id, authoritative, row_number() OVER (PARTITION BY query_id, authoritative ORDER BY rank) AS rank FROM own WHERE authoritative OR rank <= 25
+            UNION ALL SELECT query_id, id, authoritative, row_number() OVER (PARTITION BY query_id, authoritative ORDER BY rank) FROM words),
+    fused AS (SELECT query_id, id, authoritative, sum(1.0::DOUBLE / (60 + rank)) AS fused FROM ranked GROUP BY ALL),
+    placed AS (SELECT f.*, coalesce(o.similarity, 0) AS similarity, row_number() OVER (PARTITION BY f.query_id, f.authoritative ORDER BY coalesce(o.similarity, 0) DESC, f.id) AS place
+            FROM fused f LEFT JOIN own o ON o.query_id = f.query_id AND o.id = f.id),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY authoritative DESC, CASE WHEN authoritative THEN similarity ELSE round(fused, 12) END DESC, id) AS position
+            FROM placed WHERE NOT authoritative OR (similarity >= {fixed.MIN_SIMILARITY - fixed.AUTHORITY_MARGIN} AND place <= {fixed.RESERVED_SLOTS})),
+    hits AS (SELECT *, max(similarity) OVER (PARTITION BY query_id) AS confidence FROM ordered WHERE position <= {fixed.TOP_K})"""
+
+
+@_query(
+    f"""{_HYBRID} SELECT query_id, id, round(similarity, 6) AS similarity, round(fused, 9) AS fused, authoritative AS reserved, CAST(position AS INTEGER) AS position, round(confidence, 6) AS confidence
+    FROM hits WHERE confidence >= {fixed.MIN_SIMILARITY}"""
+)
+def hybrid_search(spark, d):
+    hits, _ = _search(spark, d)
     return hits.withColumns({"similarity": F.round("similarity", 6), "confidence": F.round("confidence", 6), "fused": F.round("fused", 9)})
 
 
+@_query(
+    f"""{_HYBRID}, b AS (SELECT query_id, max(similarity) AS best FROM hits GROUP BY 1),
+    r AS (SELECT query_id, best, CASE WHEN trim(coalesce(query, '')) = '' THEN 'empty query' WHEN best IS NULL THEN 'no candidates' WHEN best < {fixed.MIN_SIMILARITY} THEN 'below threshold' END AS reason FROM asked LEFT JOIN b USING (query_id))
+    SELECT query_id, round(coalesce(best, 0), 6) AS confidence, reason IS NOT NULL AS abstained, reason FROM r"""
+)
+def search_answers(spark, d):
+    hits, queries = _search(spark, d, abstained=True)
+    return retrieval.abstention(hits, queries).withColumn("confidence", F.round("confidence", 6))
+
+
+@_query(
+    f"""{_HYBRID}, n AS (SELECT query_id, lower(string_split(query, ' ')[1]) AS needle FROM asked),
+    h AS (SELECT query_id, position, lower(coalesce(title, '')) AS t FROM hits JOIN documents ON doc_id = hits.id WHERE confidence >= {fixed.MIN_SIMILARITY}),
+    v AS (SELECT query_id, CASE WHEN needle IS NULL AND bool_or(t IS NOT NULL) THEN 'incorrect' WHEN needle IS NULL THEN 'correct' WHEN count(t) = 0 THEN 'incorrect'
+          WHEN bool_or(position = 1 AND contains(t, needle)) THEN 'correct' WHEN contains(string_agg(t, ' ' ORDER BY position), needle) THEN 'partially correct' ELSE 'incorrect' END AS verdict
+          FROM n LEFT JOIN h USING (query_id) GROUP BY query_id, needle)
+    SELECT verdict, count(*) AS queries FROM v GROUP BY 1"""
+)
+def retrieval_verdicts(spark, d):
+    """A title's first word should stand in the titles of its hits; queries without a title should abstain."""
+    hits, queries = _search(spark, d)
+    titles = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("title", F.lit("")).alias("title"))
+    found = hits.join(titles, "id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "title"))), lambda x: x["title"]).alias("hits"))
+    judged = queries.join(found, "query_id", "left").select(
+        retrieval.verdict(F.col("query").isNull(), F.col("hits").isNull(), F.coalesce("hits", F.array().cast("array<string>")), F.array(F.get(F.split("query", " "), F.lit(0)))).alias("verdict")
+    )
+    return judged.groupBy("verdict").agg(F.count("*").alias("queries"))
+
+
+@_query(
+    f"""{_HYBRID} SELECT query_id, string_agg(hits.id || ':' || coalesce(title, '') || ':' || printf('%.3f', similarity), '|' ORDER BY position) AS citations
+    FROM hits JOIN documents ON doc_id = hits.id WHERE confidence >= {fixed.MIN_SIMILARITY} AND position <= 4 GROUP BY query_id"""
+)
+def search_citations(spark, d):
+    hits, _ = _search(spark, d)
+    facts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "title", F.col("url").alias("source_url"))
+    line = lambda c: F.concat_ws(":", c["record_id"].cast("string"), F.coalesce(c["title"], F.lit("")), F.format_string("%.3f", c["similarity"]))
+    return retrieval.citations(hits, facts).select("query_id", F.array_join(F.transform("citations", line), "|").alias("citations"))
+
+
 @_query(
     f"""{_PAIRS}, b AS (SELECT query_id, max(similarity) AS score, arg_max(vl = ql, (similarity, -id)) AS in_scope FROM p WHERE id <> query_id GROUP BY query_id),
     t AS (SELECT unnest(range(40, 85, 2)) AS pct)
@@ -393,13 +498,6 @@ def score_distribution(spark, d):
     return evaluation.distribution(best.join(labels, "query_id"), "label", "score")
 
 
-@_query()
-def search_citations(spark, d):
-    hits = hybrid_search(spark, d).where("NOT abstained")
-    facts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "title", F.col("url").alias("source_url"))
-    return retrieval.citations(hits, facts)
-
-
 # ---------------------------------------------------------------- telemetry and conversations
 
 
@@ -485,10 +583,23 @@ def call_report(spark, d):
     return conversation.call_report(_once(spark, d))
 
 
-@_query()
+_UNIT = r"(?i)\b\d[\d,.]*\s*(?:months?|days?|years?|%|percent|lakhs?|crores?)"
+_MONEY = r"(?i)\b(?:rs\.?|inr|rupees)\s*\d[\d,.]*"
+
+
+@_query(
+    rf"""WITH t AS (SELECT DISTINCT ON (turn_id) * FROM call_turns ORDER BY turn_id),
+    h AS (SELECT turn_id, regexp_replace(lower(coalesce(caller, '')), '[,\s]+', ' ', 'g') AS hay,
+      list_concat(list_transform(regexp_extract_all(coalesce(agent, ''), {_q(_UNIT + "(?:[^a-z]|$)")}), lambda x: regexp_extract(x, {_q(_UNIT)})), regexp_extract_all(coalesce(agent, ''), {_q(_MONEY)})) AS w FROM t),
+    e AS (SELECT turn_id, hay, trim(unnest(w)) AS w, generate_subscripts(w, 1) AS n FROM h),
+    b AS (SELECT *, regexp_extract(w, '\d[\d,.]*') AS number, rtrim(replace(regexp_extract(w, '\d[\d,.]*'), ',', ''), '.') AS bare FROM e),
+    s AS (SELECT *, replace(number, ',', ' ') AS spaced, CASE WHEN regexp_matches(bare, '^\d{{1,18}}$') THEN replace(format('{{:,}}', TRY_CAST(bare AS BIGINT)), ',', ' ') ELSE bare END AS grouped FROM b)
+    SELECT turn_id, string_agg(w, '|' ORDER BY n) AS figures FROM s WHERE NOT (contains(hay, bare) OR contains(hay, spaced) OR contains(hay, grouped)) GROUP BY turn_id"""
+)
 def figure_grounding(spark, d):
     none = F.array().cast("array<string>")
-    return _once(spark, d).select("turn_id", conversation.unsupported_figures(F.col("agent"), F.col("caller"), none).alias("figures")).where(F.size("figures") > 0)
+    found = _once(spark, d).select("turn_id", conversation.unsupported_figures(F.col("agent"), F.col("caller"), none).alias("figures")).where(F.size("figures") > 0)
+    return found.withColumn("figures", F.array_join("figures", "|"))
 
 
 @_query()
@@ -522,6 +633,17 @@ def event_quiet_gap(spark, d):
     return signals.quiet_gap(table(spark, d, "events"), ["user_id", "event_type"], 600).select("event_id", "user_id", "event_type")
 
 
+@_query(
+    """WITH RECURSIVE o AS (SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT user_id, event_type, event_id, n, ts AS last, true AS passed FROM o WHERE n = 1
+      UNION ALL SELECT o.user_id, o.event_type, o.event_id, o.n, CASE WHEN o.ts >= r.last + INTERVAL '600 seconds' THEN o.ts ELSE r.last END, o.ts >= r.last + INTERVAL '600 seconds'
+      FROM r JOIN o ON o.user_id IS NOT DISTINCT FROM r.user_id AND o.event_type IS NOT DISTINCT FROM r.event_type AND o.n = r.n + 1)
+    SELECT event_id, user_id, event_type FROM r WHERE passed"""
+)
+def event_cooldown(spark, d):
+    return signals.cooldown_of(table(spark, d, "events"), ["user_id", "event_type"], 600).select("event_id", "user_id", "event_type")
+
+
 @_query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def latest_events(spark, d):
     events = table(spark, d, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("at"))

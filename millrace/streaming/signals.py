@@ -1,8 +1,8 @@
 """Event-time signals: windowed counts, duplicates within a watermark, cooldown per key.
 
-Each has a batch twin with the same result on complete data. Defined results: events later
-than the watermark are dropped by the stream; an event with a null key is a key of its own
-in counts and is never suppressed.
+Counts, sessions and duplicates work on streams and on tables; `cooldown_of` is the batch twin of
+`cooldown`. Defined results: events later than the watermark are dropped by the stream; null is a
+key like any other; events at one time are ordered by event_id.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,6 +42,28 @@ def quiet_gap(events: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     return events.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("ts") >= F.col("_before") + F.expr(f"INTERVAL {seconds} SECONDS"))).drop("_before")
 
 
+def cooldown_of(events: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """Batch: events that come at least `seconds` after the last event of their key that was let through.
+    Rows are sorted by key and time in their task and pass one by one; no group is held in memory."""
+    picked = events.select(*[F.col(k).alias(f"k{n}") for n, k in enumerate(keys)], F.col("ts").cast("timestamp").cast("double").alias("at"), "event_id")
+    ordered = picked.repartition(*[f"k{n}" for n in range(len(keys))]).sortWithinPartitions(*[f"k{n}" for n in range(len(keys))], "at", "event_id")
+
+    def pass_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            kept = []
+            for row, values in enumerate(zip(*(batch.column(c).to_pylist() for c in range(len(keys) + 1)))):
+                if values[:-1] != key:
+                    key, last = values[:-1], None
+                if last is None or values[-1] - last >= seconds:
+                    kept.append(row)
+                    last = values[-1]
+            yield batch.select([len(keys) + 1]).take(pa.array(kept, pa.int64()))
+
+    passed = ordered.mapInArrow(pass_through, f"event_id {events.schema['event_id'].dataType.simpleString()}")
+    return events.join(passed, "event_id", "left_semi")
+
+
 def cooldown(events: DataFrame, seconds: int, late: str = "10 minutes") -> DataFrame:
     """Stream: events of a (user_id, event_type) that come at least `seconds` after the last one let
     through. The state is one time per key and expires with the cooldown."""

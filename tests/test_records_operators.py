@@ -63,7 +63,8 @@ def test_windows_and_tables():
     out = chunk.windows(small)
     assert all(len(w.split()) <= 260 for w in out) and out[1].startswith(out[0][-len(" ".join(small[11:13])) :])
     assert [len(w.split()) for w in chunk.windows(["x " * 700])] == [260, 260, 180]
-    assert chunk.windows(["long " * 300, "tail of few words"]) == [("long " * 300).strip()] or True
+    assert chunk.windows(["long " * 300, "tail of few words"]) == [("long " * 300).strip()]
+    assert chunk.windows(["long " * 300, "tail of few words"], keep_tail=True)[1] == "tail of few words"
     rows = ["| a |", "|---|", *[f"| {k} |" for k in range(25)]]
     assert [p.count("\n") for p in chunk.table_parts(rows)] == [12, 12, 1]
     assert chunk.table_parts(["| only |"]) == ["| only |"] and chunk.table_parts([]) == []
@@ -74,6 +75,8 @@ def test_chunk_documents(spark):
     rows = [(1, body, "T", "internal_document"), (2, "Heading Here\n" + "some words of a paragraph " * 8, "Title", "web_page"), (3, None, None, None)]
     got = chunk.chunk_documents(spark.createDataFrame(rows, "doc_id long, text string, title string, source_type string")).orderBy("doc_id", "ordinal").collect()
     assert [(x["doc_id"], x["ordinal"], x["section_path"], x["kind"]) for x in got] == [(1, 0, "Plan > Cover", "table"), (1, 1, "Plan > Cover", "prose"), (1, 2, "Other", "prose"), (2, 0, "Title > Heading Here", "prose")]
+    apart = spark.createDataFrame([(1, "", "T", "pdf", [[["a", None], ["1", "2"]], None])], "doc_id long, text string, title string, source_type string, tables array<array<array<string>>>")
+    assert [tuple(x)[2:] for x in chunk.chunk_documents(apart, tables="tables").collect()] == [("T > table", "table", "| a |  |\n| 1 | 2 |")]
     assert got[2]["content"] == "Other\nShort answer." and "Version" not in "".join(x["content"] for x in got)
 
 
@@ -93,10 +96,13 @@ def test_hybrid_reserves_places_and_abstains(spark):
     lexical = spark.createDataFrame([(1, 11, 5.0, 1), (1, 0, 4.0, 2)], "query_id int, id int, score double, rank int")
     facts = spark.createDataFrame([(k, k % 2 == 1, "faq") for k in range(12)], "id int, authoritative boolean, category string")
     queries = spark.createDataFrame([(1, None), (2, None)], "query_id int, category string")
-    hits = [x for x in retrieval.hybrid(dense, lexical, facts, queries).orderBy("query_id", "position").collect()]
+    hits = [x for x in retrieval.hybrid(dense, lexical, facts, queries, abstained=True).orderBy("query_id", "position").collect()]
     first = [x["id"] for x in hits if x["query_id"] == 1]
     assert first[:4] == [1, 3, 5, 7] and first[4] == 0 and len(first) == 6 and 9 not in first
     assert [x["abstained"] for x in hits if x["query_id"] == 2] == [True]
+    assert {x["query_id"] for x in retrieval.hybrid(dense, lexical, facts, queries).collect()} == {1}
+    other = spark.createDataFrame([(1, "none"), (2, "faq")], "query_id int, category string")
+    assert retrieval.hybrid(dense, lexical, facts, other).count() == 0
     asked = spark.createDataFrame([(1, "q"), (2, "r"), (3, " "), (4, "s")], "query_id int, query string")
     flat = spark.createDataFrame([(x["query_id"], x["similarity"]) for x in hits], "query_id int, similarity double")
     assert {x["query_id"]: x["reason"] for x in retrieval.abstention(flat, asked).collect()} == {1: None, 2: "below threshold", 3: "empty query", 4: "no candidates"}
@@ -165,6 +171,8 @@ def test_stream_matches_batch(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
     assert sorted(x["event_id"] for x in spark.table("cool").collect()) == [0, 2, 4, 6]
+    held = signals.cooldown_of(spark.read.parquet(str(tmp_path / "in")), ["user_id", "event_type"], 600)
+    assert sorted(x["event_id"] for x in held.collect()) == [0, 2, 4, 6]
     assert spark.table("once").count() == 6
     batch = signals.window_counts(spark.read.parquet(str(tmp_path / "in")))
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, batch.collect()))
