@@ -1,16 +1,19 @@
 """Title and main body of pages whose text mixes the article with what surrounds it.
 
-The page's lines are put into a tree of blocks. A tag that a line implies opens a block and
-closes those that cannot hold it: a heading with a paragraph of several sentences, a list or
-a table opens a section of the article and closes all else; the heading of an aside opens an
-aside; a heading with a single sentence, a "read more" or nothing is a teaser inside what is
-open; "read more" closes teaser and aside. A line is visible if its block and all that hold
-it are. Frame lines (menus, breadcrumbs, notices, footers) are hidden leaves: they open no
-block, as article text may stand on either side of them. The visible blocks are emitted with
-their spacing, lists together and table cells aligned.
-
-The signs of the surroundings are multilingual (COMPLETE: whole lines, OPENING: how a
-line begins, INSIDE: what it contains); unknown short lines are judged by their place.
+The page's lines are put into a tree of blocks by what their shape implies, without regard to
+their words. A full paragraph (two sentences or more), a list item or a table row is a block of
+text; a short line right above one is a heading and opens a section, which closes whatever is open;
+a short line above anything else is a leaf of a menu or a teaser. Two such leaves in a row open a
+menu, which closes the section: text behind it is hidden until a heading or two blocks of text in a
+row open the next section. A lone sentence belongs to the section if it follows its text, else it is
+the excerpt of a teaser. Lines before the title are hidden. A line is visible if its block and all
+that hold it are. The visible blocks are emitted with their spacing, lists together and table cells
+aligned.
+
+Signs in the words (COMPLETE: whole lines, OPENING: how a line begins, INSIDE: what it contains; in
+seven languages) are a further feature: a line with a sign is a hidden leaf that opens no menu, as
+article text may stand on either side of it; the heading of an aside opens an aside, and "read more"
+closes it. With `signs=False` the shape alone decides.
 
 Defined results: null, empty and blank texts have an empty body; a page without any
 section keeps its first paragraph; a null title is taken from the first heading.
@@ -20,7 +23,6 @@ from __future__ import annotations
 
 import functools
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -82,17 +84,17 @@ class Line(NamedTuple):
     sentences: int
 
 
-def classify(line: str) -> Line:
+def classify(line: str, signs: bool = True) -> Line:
     """Implied tag of one line, seen alone; short lines recur and are remembered."""
-    return _short(line) if len(line) < 90 else _classify(line)
+    return _short(line, signs) if len(line) < 90 else _classify(line, signs)
 
 
 @functools.lru_cache(maxsize=200_000)
-def _short(line: str) -> Line:
-    return _classify(line)
+def _short(line: str, signs: bool) -> Line:
+    return _classify(line, signs)
 
 
-def _classify(line: str) -> Line:
+def _classify(line: str, signs: bool) -> Line:
     flat = _SPACE.sub(" ", line).strip()
     if not flat:
         return Line("blank", 0)
@@ -100,11 +102,11 @@ def _classify(line: str) -> Line:
         return Line("table", 0)
     low = flat.lower()
     bare = low[2:] if low[:2] == "* " else low
-    if bare in MORE:
+    if signs and bare in MORE:
         return Line("more", 0)
-    if bare in ASIDE:
+    if signs and bare in ASIDE:
         return Line("aside", 0)
-    if bare in COMPLETE or OPENING.match(bare) or INSIDE.search(bare) or flat[0] in "←→«»" or flat[-1] in "→»←":
+    if signs and (bare in COMPLETE or OPENING.match(bare) or INSIDE.search(bare)) or flat[0] in "←→«»" or flat[-1] in "→»←":
         return Line("frame", 0)
     parts = _CRUMBS.split(flat)
     if len(parts) > 1 and max(len(p.split()) for p in parts) <= 9 and not _TERMINAL.search(flat) and not _ITEM.match(flat):
@@ -131,7 +133,7 @@ class Block:
 
     def __init__(self, tag: str, parent: Block | None = None) -> None:
         self.tag, self.parent = tag, parent
-        self.shown = tag not in ("aside", "teaser") and (parent is None or parent.shown)
+        self.shown = tag not in ("aside", "teaser", "menu") and (parent is None or parent.shown)
 
     def within(self, *tags: str) -> Block | None:
         """The nearest block of one of these tags that holds it, itself included."""
@@ -148,56 +150,68 @@ class Block:
         return left
 
 
-def visible(lines: list[str], title: str | None) -> tuple[list[bool], list[str]]:
+def _flat(line: str) -> str:
+    return _SPACE.sub(" ", line).strip()
+
+
+def _full(line: str, seen: Line) -> bool:
+    """Whether the line is a paragraph of its own: two sentences, and not just two cries."""
+    return seen.kind == "text" and seen.sentences > 1 and line.lstrip()[:1] != "©" and (len(line.split()) >= 7 or len(_ASIAN.findall(line)) >= 20)
+
+
+def _title(lines: list[str], tags: list[str], order: list[int], title: str | None) -> int | None:
+    wanted = _flat(title).lower() if title else None
+    if not wanted:
+        return next((k for k in order if tags[k] == "short"), None)
+    same = [k for k in order if len(lines[k]) < len(wanted) * 2 + 40 and _flat(lines[k]).strip("# ").lower() == wanted]
+    return next((k for k in same if tags[k] in ("short", "text")), same[0] if same else None)
+
+
+def visible(lines: list[str], title: str | None, signs: bool = True) -> tuple[list[bool], list[str]]:
     """Which lines belong to title or main body, and the tag of each line."""
-    seen = [classify(line) for line in lines]
+    seen = [classify(line, signs) for line in lines]
     tags = [s.kind for s in seen]
     show = [False] * len(lines)
     order = [k for k, s in enumerate(seen) if s.kind != "blank"]
-    wanted = _SPACE.sub(" ", title).strip().lower() if title else None
-    shorts = [k for k in order if tags[k] in ("short", "text")]
-    head = next((k for k in shorts if wanted and _SPACE.sub(" ", lines[k]).strip().strip("# ").lower() == wanted), None)
-    if head is None and not wanted:
-        head = next((k for k in shorts if tags[k] == "short"), None)
-    if head is None and wanted:
-        head = next((k for k in order if _SPACE.sub(" ", lines[k]).strip().strip("# ").lower() == wanted), None)
+    blocks = {k for k in order if tags[k] in ("table", "item") or _full(lines[k], seen[k])}
+    head = _title(lines, tags, order, title)
     if head is not None:
         show[head], tags[head] = True, "title"
     root = Block("page")
-    here = root
+    article = Block("article", root)
+    here, leaves = root, 0
     for n, k in enumerate(order):
         kind = tags[k]
+        before = order[n - 1] if n else None
+        # a line with a sign in its words doesn't come between a heading and its text
+        after = next((order[j] for j in range(n + 1, len(order)) if tags[order[j]] != "frame"), None)
         if kind == "title":
-            here = root
-        elif kind in ("table", "item"):
-            here = here.closed("teaser")
-            show[k] = here.shown
-        elif kind == "short":
-            rest = next((order[j] for j in range(n + 1, len(order)) if tags[order[j]] != "frame"), None)
-            opens = False
-            if rest is not None and tags[rest] in ("table", "item"):
-                opens = True
-            elif rest is not None and tags[rest] == "text":
-                at = bisect_right(order, rest)
-                follows = order[at] if at < len(order) else None
-                opens = seen[rest].sentences > 1 or follows is not None and tags[follows] in ("text", "table", "item")
-            if opens:
-                here = Block("section", root)
-                show[k], tags[k] = here.shown, "heading"
-            else:
-                here = Block("teaser", here.closed("teaser"))
-                tags[k] = "teaser"
-        elif kind == "text":
-            if here.tag == "teaser" and seen[k].sentences <= 1:
-                tags[k] = "excerpt"
-                here = here.closed("teaser")
-            else:
-                here = here.closed("teaser")
-                show[k] = here.shown
-        elif kind == "aside":
+            here, leaves = article, 0
+            continue
+        if kind == "aside":
             here = Block("aside", here.closed("aside", "teaser"))
         elif kind == "more":
             here = here.closed("aside", "teaser")  # the link ends the teasers
+        elif kind == "short" and after in blocks:
+            here = Block("section", article)
+            tags[k] = "heading"
+        elif kind == "short":
+            leaves += 1
+            here = Block("teaser", here.closed("teaser")) if leaves < 2 else Block("menu", root) if not here.within("aside") else here
+            tags[k] = "teaser"
+            continue
+        elif k in blocks:
+            here = here.closed("teaser")
+            if here.within("article") is None and not here.within("aside") and after in blocks:
+                here = Block("section", article)  # text on text needs no heading
+        elif kind == "text":
+            if here.tag == "teaser" or before is None or not show[before] or tags[before] == "title":
+                tags[k] = "excerpt"
+                here, leaves = here.closed("teaser"), leaves + 1
+                continue
+        if kind in ("short", "text", "table", "item"):
+            show[k] = here.within("article") is not None and here.shown
+            leaves = 0 if show[k] else leaves
     if not any(s for k, s in enumerate(show) if tags[k] in ("text", "table", "item", "heading")):
         # nothing opened a section: the first headline with its sentence is the article
         for n, k in enumerate(order):
@@ -229,7 +243,7 @@ def render(lines: list[str], show: list[bool], tags: list[str]) -> str:
     return "\n\n".join(out)
 
 
-def main_bodies(df: DataFrame, key: str = "doc_id", text: str = "text", title: str = "title") -> DataFrame:
+def main_bodies(df: DataFrame, key: str = "doc_id", text: str = "text", title: str = "title", signs: bool = True) -> DataFrame:
     """key, page_title, body (rendered) and hidden (numbers of the non-blank lines left out) of every row."""
     kind = df.schema[key].dataType.simpleString()
 
@@ -238,7 +252,7 @@ def main_bodies(df: DataFrame, key: str = "doc_id", text: str = "text", title: s
             heads, bodies, hidden = [], [], []
             for body, named in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 lines = (body or "").split("\n")
-                show, tags = visible(lines, named)
+                show, tags = visible(lines, named, signs)
                 head = next((k for k, tag in enumerate(tags) if tag == "title"), None)
                 heads.append(lines[head].strip() if head is not None else named)
                 bodies.append(render(lines, [s and tag != "title" for s, tag in zip(show, tags)], tags))

@@ -345,6 +345,34 @@ def test_main_body(spark):
     assert got[2]["body"] == got[3]["body"] == "" and got[4]["body"] == "Only one sentence here."
 
 
+def test_structure_alone_finds_most_of_what_surrounds_an_article(spark):
+    pages = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("source_type = 'web_page' AND text IS NOT NULL").select("text", "title").collect()]
+    both = only = found = 0
+    for text, title in pages:
+        page = text.split("\n")
+        with_signs, without = (body.visible(page, title, signs)[0] for signs in (True, False))
+        hidden = [{k for k, line in enumerate(page) if line.strip() and not shown[k]} for shown in (with_signs, without)]
+        both, only, found = both + len(hidden[0] & hidden[1]), only + len(hidden[0]), found + len(hidden[1])
+    assert both / only > 0.9 and both / found > 0.97
+
+
+def test_structure_of_a_page_in_other_words():
+    page = """Startseite
+Themen
+Wetter
+Der Berg ruft
+Der Vulkan hat am Montag Asche gespuckt. Die Behörden haben zwei Dörfer geräumt.
+Hintergrund
+- Letzter Ausbruch vor zwölf Jahren
+- Höhe 2.900 Meter
+Mehr dazu
+Wanderer in Not
+Rezepte für den Herbst
+Impressum""".split("\n")
+    shown = body.visible(page, "Der Berg ruft", signs=False)[0]
+    assert [k for k, s in enumerate(shown) if s] == [3, 4, 5, 6, 7]
+
+
 def test_lines_inherit_the_visibility_of_their_block():
     page = ["Limits of Zed Care", "Doors open at ten. Latecomers wait outside.", "Related pages", "Zed pays for rooms. Zed pays for beds.", "- Rooms of Zed", "| Beds | Zed |", "Rules for Mila Bridge", "Keep bills and slips. The desk may ask.", "- Menu of Zed riders"]
     assert body.visible(page, page[0])[0] == [True, True, False, False, False, False, True, True, True]
