@@ -91,12 +91,13 @@ def p6_bodies(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("doc_id", "page_title", "body")
 
 
-def _languages(spark: SparkSession, d: str) -> DataFrame:
-    """tbl, row_id, lang as given, and what was detected, for every row of the three tables."""
+def _languages(spark: SparkSession, d: str, prose: str | None = None) -> DataFrame:
+    """tbl, row_id, lang as given, and what was detected, for every row of the three tables; `prose`
+    narrows the records."""
     scorer = language.fit(table(spark, d, "lang_samples"))
     rows = None
-    for name, key, text, rest in (("documents", "doc_id", "text", None), ("records", "record_id", "content", "kind = 'prose'"), ("call_turns", "turn_id", "caller", None)):
-        part = table(spark, d, name).where(rest) if rest else table(spark, d, name)
+    for name, key, text in (("documents", "doc_id", "text"), ("records", "record_id", "content"), ("call_turns", "turn_id", "caller")):
+        part = table(spark, d, name).where(prose) if name == "records" and prose else table(spark, d, name)
         part = part.select(F.lit(name).alias("tbl"), F.col(key).cast("string").alias("row_id"), F.col("lang"), F.col(text).alias("text"))
         rows = part if rows is None else rows.unionByName(part)
     keyed = rows.select(F.struct("tbl", "row_id", "lang").alias("key"), "text")
@@ -104,7 +105,7 @@ def _languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = _languages(spark, d).where("detected IS NOT NULL AND (tbl <> 'call_turns' OR n_words >= 4)")
+    rows = _languages(spark, d, "kind = 'prose'").where("detected IS NOT NULL AND (tbl <> 'call_turns' OR n_words >= 4)")
     label = F.lower(F.trim(F.split("lang", "-")[0]))
     wrong = F.col("lang").isNull() | label.isin("", "und") | (label != F.col("detected"))
     shown = F.when(F.size("present") > 0, F.col("present")).otherwise(F.array("detected"))

@@ -392,6 +392,35 @@ def test_held_out_samples_are_recognised(spark):
     assert right / len(held) > 0.98
 
 
+UNLIKE = {
+    "en": "The river froze early this winter.|Our teacher read a poem about the sea.|Nobody saw the thief leave the museum.|She grows tomatoes on her balcony.|The train was late because of heavy snow.|He plays the violin in a small orchestra.|We walked along the beach until sunset.|Dinosaurs lived millions of years ago.|The baker sells fresh bread every morning.|Two boys kicked a ball across the street.|My grandmother told us stories about the war.|The engine makes a strange noise when it starts.",
+    "id": "Gunung Merapi memuntahkan awan panas sejauh lima kilometer kemarin sore.|Anak-anak bermain layang-layang di lapangan dekat sungai.|Ibu memasak rendang untuk pesta pernikahan kakak.|Kereta api berangkat pukul tujuh pagi dari stasiun.|Pemerintah membangun jembatan baru di atas sungai itu.|Nelayan menangkap ikan sejak subuh hingga siang.|Buku itu ditulis oleh seorang guru dari desa kecil.|Hujan deras membuat jalan raya tergenang air.|Dia belajar bahasa Jepang selama tiga tahun.|Kucing hitam itu tidur di bawah meja makan.|Para petani memanen padi pada bulan April.|Mereka menonton pertandingan sepak bola bersama teman-teman.",
+    "fil": "Naglalaro ang mga bata sa tabi ng ilog tuwing hapon.|Nagluto si nanay ng masarap na adobo para sa hapunan.|Malakas ang ulan kagabi kaya binaha ang kalsada.|Sumakay kami ng dyip papuntang palengke.|Isinulat ng guro ang tula sa pisara.|Maagang gumising ang magsasaka upang mag-ani ng palay.|Kumakanta siya habang naglalaba ng mga damit.|Mahilig magbasa ng nobela ang kapatid kong babae.|Nahulog ang mangga mula sa mataas na puno.|Umuwi ang mangingisda na maraming huli.|Pinanood namin ang paglubog ng araw sa dalampasigan.|Bumili ng bagong sapatos ang tatay niya.",
+    "jv": "Bocah-bocah padha dolanan layangan ing sawah.|Simbah crita babagan jaman perang biyen.|Udan deres mau bengi marakake kali banjir.|Ibu masak jangan lodeh kanggo bapak.|Kucinge turu ing ngisor meja nganti sore.|Wong tani lagi ndhaut winih pari ing sawah.|Adhiku seneng nggambar wit lan kembang.|Sapine mangan suket ing pinggir kali.|Aku arep lunga menyang kutha sesuk esuk.|Gunung iku katon dhuwur banget saka kene.|Pakdhe tuku wedhus loro ing pasar kewan.|Kancaku ora bisa teka amarga lara weteng.",
+    "hi": "बच्चे नदी के किनारे पतंग उड़ा रहे थे।|माँ ने शादी के लिए मिठाई बनाई।|कल रात बहुत तेज़ बारिश हुई।|किसान सुबह खेत में काम करता है।",
+    "th": "เด็กๆเล่นว่าวอยู่ริมแม่น้ำ|แม่ทำแกงเขียวหวานให้ครอบครัว|เมื่อคืนฝนตกหนักมาก|ชาวนาเกี่ยวข้าวตั้งแต่เช้า",
+    "ja": "子どもたちは川辺で凧を揚げていました。|母は夕食にカレーを作りました。|昨夜は大雨が降った。|東京大学|駅前の図書館で本を借りた。",
+    "zh": "孩子们在河边放风筝。|妈妈做了一桌好菜。|昨天晚上下了一场大雨。|他在图书馆借了两本书。|農民從早上開始收割稻米，孩子們在旁邊玩耍。",
+}
+
+
+def test_sentences_of_other_fields_are_recognised(spark):
+    rows = sorted(tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/lang_samples.parquet").select("lang", "text").collect())
+    scorer = language.fitted(rows)
+    labeller = language.Labeller(scorer)
+    right = total = 0
+    for lang, said in UNLIKE.items():
+        for segments in labeller.label(said.split("|")):
+            right, total = right + (language.whole(segments)[0] == lang), total + 1
+    assert right / total >= 0.95 and 0.05 <= scorer.slope <= 2.0
+    assert labeller.label(["Это русский текст.", "write to maruh.dalam@rumah.example"])[0] == []
+
+
+def test_fit_takes_every_language(spark):
+    rows = spark.createDataFrame([(lang, f"{word} {k}") for lang, word in (("en", "house"), ("zh", "房子"), ("th", "บ้าน")) for k in range(1500)], "lang string, text string")
+    assert language.fit(rows).scores["house"]
+
+
 def test_segments_of_mixed_texts(spark):
     scorer = language.Scorer([])
     en, fil, hi, ja, zh = "The members of this plan wait for the claims desk.", "Hindi ko pa po kayang magbayad ngayon para sa inyo.", "यह योजना अस्पताल का खर्च देती है।", "保険料は前年より上がりました。", "如果保单丢失请联系服务点。"
