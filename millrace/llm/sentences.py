@@ -38,14 +38,15 @@ _STOPS = frozenset(_STOP)
 _FIRST = frozenset("\"“‘「『(（\n" + _STOP)
 _FULL = frozenset("。！？｡।॥")
 _CLOSERS = frozenset("\"'”’»)]」』）】")
-_BEFORE_WORD = re.compile(r".*[\s(\[\"'“‘「（,;:]", re.S)
+_BREAKS = frozenset("([\"'“‘「（,;:")
+LOOK_BACK = 1000
 _NUMBERING = re.compile(r"[\W_]*(?:\d{1,4}|[ivxlIVXL]{1,5}|[A-Za-z])\Z")
 _INITIALS = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]\Z")
 _NAME_LIKE = re.compile(r"[a-z]-[a-z]|[a-z]{1,2}[A-Z]")
 
 #: Abbreviations that stand before what they belong to; never the end of a sentence.
 LEADING = frozenset(
-    "mr mrs ms dr prof smt shri sri st gng bpk jl vol fig figs pp sec secs art e.g i.e vs cf rs h.no brgy pt ph hj kh ir drs g gg "
+    "mr mrs ms dr prof gen col capt lt maj sgt cpl cmdr adm rev hon gov sen rep pres supt messrs mx fr sra srta dra smt shri sri st mt ft gng bpk jl vol fig figs pp sec secs art e.g i.e vs cf rs h.no brgy pt ph hj kh ir drs g gg "
     "डॉ रु प्रा श्री सुश्री ดร น.ส พ.ศ".split()
 )
 #: Abbreviations that only a number follows.
@@ -83,6 +84,8 @@ _KIND = {kind: frozenset(words.split()) for kind, words in _KINDS.items()}
 _LEXICON = _CARRY_ON.union(*_KIND.values())
 _LONGEST = max(map(len, _LEXICON))
 _BEFORE = {"wanting": -4, "verb": -4, "final": 4, "closing": 2, "maybe": 1}
+#: Ends of a clause only where a blank follows; elsewhere their object does.
+_DONE_WORDS = frozenset("了 过 啦 啊 呀 呗 嘛".split())
 _BEHIND = {"carry": -5, "wanting": -4, "opener": 2, "perhaps": 1}
 _RUN = re.compile("[぀-ヿ㐀-鿿々]+")
 _DONE = re.compile(r"(?<=了)[\d.,]+[%％]")
@@ -112,8 +115,13 @@ def _words(run: str) -> tuple[int, ...]:
     return tuple(ends)
 
 
-def _first_word(text: str, at: int, reach: int = 8) -> str:
-    window = text[at : at + reach]
+def _words_of(run: str) -> list[str]:
+    ends = _words(run)
+    return [run[a:b] for a, b in zip((0, *ends), ends)]
+
+
+def _first_word(text: str, at: int) -> str:
+    window = text[at : at + 2 * _LONGEST]
     return window[: _words(window)[0]] if window else ""
 
 
@@ -158,6 +166,8 @@ def _lost_marks(text: str) -> list[tuple[int, int]]:
                 behind = 0
             elif blank and k + 1 < len(runs) and runs[k + 1].start() == after:
                 behind = _inner_gaps(runs[k + 1][0])[2] or 0
+            if blank and behind is not None and _words_of(run[0])[-1] in _DONE_WORDS:
+                before = 1
             if behind is not None and (before or 0) + behind + blank >= 2:
                 found.append((stop, after))
     for done in _DONE.finditer(text):
@@ -186,9 +196,12 @@ def _cheapest(nodes: list[tuple[int, int, int, int]]) -> list[int]:
 
 
 def _word_before(text: str, line: int, start: int) -> str:
-    least = max(line, start - 40)
-    found = _BEFORE_WORD.match(text, least, start)
-    return text[found.end() if found else least : start]
+    """The token before a mark; one of more than LOOK_BACK characters is judged by its last ones."""
+    least = max(line, start - LOOK_BACK)
+    at = start
+    while at > least and text[at - 1] not in _BREAKS and not text[at - 1].isspace():
+        at -= 1
+    return text[at:start]
 
 
 def _doubt(text: str, line: int, start: int, stop: int, closed: bool) -> int:

@@ -538,6 +538,20 @@ def test_lost_marks_between_any_words(marked):
     assert sentences.split_sentences(marked.replace("|", "")) == marked.split("|")
 
 
+@pytest.mark.parametrize(
+    "marked",
+    [
+        "他昨天来过|老师不在家|所以他走了",
+        "今日は天気がいいです|明日は雨が降るでしょう。",
+        "Gen. Smith met Capt. Jones.|They left.",
+        f"See www.{'x' * 60}.example/p.80 for it.|Nobody did.",
+    ],
+)
+def test_boundaries_in_texts_of_other_fields(marked):
+    joiner = "" if "今日" in marked else " "
+    assert sentences.split_sentences(marked.replace("|", joiner)) == marked.split("|")
+
+
 def test_marks_of_a_line_are_weighed_together():
     for parts in (["Zed Pvt. Ltd. pays it.", "Older cards work."], ["It is out.", "Min. 5 members join."], ["The bill went to Zed Ltd.", "Nobody paid it."]):
         assert sentences.split_sentences(" ".join(parts)) == parts
