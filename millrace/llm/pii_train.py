@@ -79,7 +79,7 @@ my name is {n}[, from {c}|, i need help| thanks|, mobile {P}]
 [tax id|national id|passport no|nik no]: {I}[; |, ][residence|home address]: {A}[; |, |][place: {c}|]
 [my|the] [id|pan|passport] is {I} and [my|our] [house|address|flat] is {A}[, okay|"|, {p} papers|].
 [my|her|the] [id|policy|contract|passport|tax number|policy number|member number] [is|reads|:] {I}
-[speaking|this is {N}|{N} here], [policy|contract|member|id] number {I}.
+[on the phone|it's {N}|{N} here], [policy|contract|member|id] number {I}.
 [it's|use|take|try] {P} [then|instead|these days|please|, the other one is off]
 [Mobile|No. HP|Nomor telepon|Telepon] {P} [ada di|tertulis di] [berkas|formulir] {p}.
 [PAN|Aadhaar|Licence|Voter id] {I} [was left|got pasted|ended up] in the {p} [file|mail|letter].
@@ -466,7 +466,7 @@ def quality(made: list, trees, limits: dict[str, float]) -> dict[str, tuple[floa
 def main() -> None:
     from millrace.llm.pii import Trees
 
-    x, y = dataset(passages(1, 18_000, TRAIN, FALSE))
+    x, y = dataset(passages(1, 16_000, TRAIN, FALSE))
     print(len(y), "candidates,", int(y.sum()), "true", flush=True)
     bias, trees = boost(x, y)
     held_x, held_y = dataset(passages(2, 3_000, HELD, FALSE_HELD))

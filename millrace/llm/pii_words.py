@@ -11,7 +11,7 @@ CLASSES: dict[str, str] = {
     "phone": """phone phones telephone tel telp telepon telpon telepono mobile cell cellphone landline handphone hp whatsapp wa viber sms text call calls called calling ring
         dial dialled reach reached contact contacted number numbers no nomor nomer nomerku numero hubungi kontak tawagan tawag teks फोन फ़ोन मोबाइल नंबर कॉल संपर्क""",
     "mail": "email e-mail emails mail mailed mailbox inbox gmail surel pos-el imel ipadala padala kirim kirimkan send sent write forward copy cc ईमेल मेल",
-    "dictated": "dot at underscore dash hyphen plus titik tuldok et डॉट ऐट",
+    "dictated": "dot underscore dash hyphen plus titik tuldok et डॉट ऐट",
     "ident": """id ids identity identification pan aadhaar aadhar uid uidai nik ktp sim npwp kk paspor passport licence license driving voter ssn nino sss tin umid philhealth gsis
         policy policies polis polisi contract kontrak kontrata kontrato lead reference ref member membership card account rekening taxpayer tax certificate nric पैन आधार पॉलिसी संख्या पासपोर्ट अनुबंध""",
     "address": """address addresses live lives lived living stay stays staying reside resides residing residence resident residential home house household moved move deliver

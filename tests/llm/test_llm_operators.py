@@ -161,7 +161,7 @@ def test_levels_of_the_merge(spark, monkeypatch):
 def test_trees_find_items_in_frames_they_have_not_seen():
     made = pii_train.passages(77, 700, pii_train.FINAL, pii_train.FALSE_HELD)
     for kind, (recall, precision) in pii_train.quality(made, pii.model(), pii.model().thresholds).items():
-        assert recall > 0.85 and precision > 0.9, (kind, recall, precision)
+        assert recall > 0.87 and precision > 0.9, (kind, recall, precision)
     assert pii.model().trees and json.loads(Path(pii.__file__).with_name("pii_model.json").read_text())["features"] == pii.FEATURES
 
 
@@ -173,7 +173,7 @@ def test_no_frame_of_training_stands_in_the_tables(spark):
     for frame in pii_train.TRAIN + pii_train.FALSE + pii_train.HELD + pii_train.FINAL + pii_train.FALSE_HELD:
         for chosen in {composer.chosen(frame) for _ in range(6)}:
             literal = re.sub(r"\{\w\}", "", chosen)
-            if len(literal.strip()) >= 10 and max(re.split(r"\{\w\}", chosen), key=len).strip() in text:
+            if sum(map(str.isalpha, literal)) >= 10 and max(re.split(r"\{\w\}", chosen), key=len).strip() in text:
                 pattern = re.sub(r"\\\{(\w)\\\}", lambda m: r"[^\W\d_]+" if m[1] in "wT" else r"[^\n.?!:;]{1,60}?", re.escape(chosen))
                 assert not re.search(pattern, text), chosen
 
