@@ -33,10 +33,11 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items that the splitter cut, seen from their second piece, and that exceed the limit of their table."""
     words, chars = F.col("item_words"), F.col("item_chars")
     over = lambda most: (words > most[0]) | (chars > most[1])
-    first = p2_pieces(spark, d).where(F.col("piece_no") == 0)
-    return first.where(F.when(F.col("tbl") == "chunks", over(_CHUNK)).otherwise(over(_DOCUMENT))).select("tbl", "row_id")
+    second = p2_pieces(spark, d).where(F.col("piece_no") == 1)
+    return second.where(F.when(F.col("tbl") == "chunks", over(_CHUNK)).otherwise(over(_DOCUMENT))).select("tbl", "row_id")
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:

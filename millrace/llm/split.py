@@ -20,6 +20,7 @@ from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,6 @@ from millrace.llm.sentences import sentence_starts
 _WORDS = re.compile(r"\S+")
 _CLAUSE = re.compile(r"[,;:、，；：]\s*(?=\S)|\s[-–—]\s+(?=\S)")
 _SPACELESS = re.compile("[ก-๛぀-ヿ一-鿿]")
-_LETTERS = re.compile(r"[^\W\d_]")
 BLANK_LINE, LINE, SENTENCE, CLAUSE, WORD = 4, 3, 2, 1, 0
 
 
@@ -50,6 +50,14 @@ class _Text:
     def __init__(self, text: str, limits: Limits) -> None:
         self.text, self.limits = text, limits
         self.words = [m.start() for m in _WORDS.finditer(text)]
+        self.begins: dict[int, int] = {}
+        # running counts of letters, and of those of scripts without blanks, where there are any
+        self.letters = self.spaceless = None
+        if not text.isascii() and _SPACELESS.search(text):
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            own = ((codes >= 0xE01) & (codes <= 0xE5B)) | ((codes >= 0x3040) & (codes <= 0x30FF)) | ((codes >= 0x4E00) & (codes <= 0x9FFF))
+            self.spaceless = np.concatenate([[0], np.cumsum(own)])
+            self.letters = np.concatenate([[0], np.cumsum(np.fromiter(map(str.isalpha, text), bool, len(text)))])
 
     def count(self, a: int, b: int) -> int:
         """Words of the slice; a cut inside a word makes two."""
@@ -59,14 +67,21 @@ class _Text:
 
     def overlap(self, at: int) -> int:
         """Where a piece whose new text begins at `at` has to begin."""
+        begin = self.begins.get(at)
+        if begin is None:
+            begin = self.begins[at] = self._overlap(at)
+        return begin
+
+    def _overlap(self, at: int) -> int:
         if at == 0:
             return 0
         end = at
         while end and self.text[end - 1].isspace():
             end -= 1
-        tail = self.text[max(0, end - self.limits.overlap_chars) : end]
-        if len(_SPACELESS.findall(tail)) * 3 > len(_LETTERS.findall(tail)):
-            return max(0, end - self.limits.overlap_chars)
+        if self.spaceless is not None:
+            low = max(0, end - self.limits.overlap_chars)
+            if (self.spaceless[end] - self.spaceless[low]) * 3 > self.letters[end] - self.letters[low]:
+                return low
         k = bisect_left(self.words, end)
         start = self.words[max(0, k - self.limits.overlap_words)]
         return start if at - start <= self.limits.chars // 2 else max(0, end - self.limits.overlap_chars)
