@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import chunk, conversation, dedupe, evaluation, records, retrieval, telemetry
@@ -16,7 +17,9 @@ def sets(body, n=5):
     return {" ".join(words[k : k + n]) for k in range(len(words) - n + 1)} if len(words) >= n else ({body} if body else set())
 
 
-def test_near_duplicates_match_a_greedy_loop(spark):
+@pytest.mark.parametrize("hot", [dedupe.HOT, 4])
+def test_near_duplicates_match_a_greedy_loop(spark, monkeypatch, hot):
+    monkeypatch.setattr(dedupe, "HOT", hot)
     r = random.Random(3)
     words = [f"w{k}" for k in range(400)]
     rows = []
