@@ -130,7 +130,7 @@ CATEGORIES = {
 HEADING_WEIGHT, BODY_WEIGHT, HINT_WEIGHT, BODY_SCAN_CHARS = 3, 1, 2, 600
 
 # --- retrieval
-RRF_K, LEXICAL_CANDIDATES, DENSE_CANDIDATES, AUTHORITY_BOOST, RESERVED_SLOTS, AUTHORITY_MARGIN = 60, 25, 5000, 1.35, 4, 0.06
+RRF_K, LEXICAL_CANDIDATES, DENSE_CANDIDATES, RESERVED_SLOTS, AUTHORITY_MARGIN = 60, 25, 5000, 4, 0.06
 TOP_K, MIN_SIMILARITY, QUERY_TOKENS = 6, 0.64, 24
 BM25_K1, BM25_B = 1.2, 0.75
 AUTHORITATIVE = ("internal_document",)

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from millrace.functions import fixed, text
 
 
-def once(turns: DataFrame, key: str = "turn_id") -> DataFrame:
-    return turns.dropDuplicates([key])
+def once(turns: DataFrame, key: str = "turn_id", at: str = "said_at") -> DataFrame:
+    """One row per key: of rows that differ the earliest, then the one of the smaller hash."""
+    rest = [F.col(c).alias(c) for c in turns.columns if c != key]
+    first = F.min_by(F.struct(*rest), F.struct(F.col(at), F.xxhash64(*[c for c in turns.columns if c != key])))
+    return turns.groupBy(key).agg(first.alias("_row")).select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in turns.columns])
 
 
 def history(turns: DataFrame, size: int = fixed.HISTORY_TURNS) -> DataFrame:

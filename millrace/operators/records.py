@@ -73,6 +73,12 @@ def build_stats(records: DataFrame) -> DataFrame:
     )
 
 
+def repeated_titles(records: DataFrame) -> DataFrame:
+    """title (trimmed, in small letters), records and documents of titles that stand on several records."""
+    named = records.withColumn("title", F.lower(F.trim("title"))).where("title <> ''")
+    return named.groupBy("title").agg(F.count("*").alias("records"), F.count_distinct("doc_id").alias("documents")).where("records > 1")
+
+
 def superseded(records: DataFrame, previous: DataFrame) -> DataFrame:
     """Records of a previous build whose place (doc_id, ordinal) now has other content: record_id, superseded_by."""
     old = previous.select("doc_id", "ordinal", F.col("record_id"), F.col("checksum").alias("was"))

@@ -193,3 +193,14 @@ def threshold_sweep(scores: DataFrame, first: int = 40, last: int = 84, step: in
     refused, answered = F.col("in_scope") & (F.col("score") < F.col("percent") / 100), ~F.col("in_scope") & (F.col("score") >= F.col("percent") / 100)
     out = each.groupBy((F.col("percent") / 100).alias("threshold")).agg(F.count_if(refused).alias("false_refusals"), F.count_if(answered).alias("false_answers"))
     return out.withColumn("errors", F.col("false_refusals") + F.col("false_answers"))
+
+
+def best_threshold(sweep: DataFrame) -> DataFrame:
+    """The row of the fewest errors; of equal ones the smallest threshold."""
+    return sweep.agg(F.min_by(F.struct(*sweep.columns), F.struct("errors", "threshold")).alias("b")).select("b.*")
+
+
+def separability(scores: DataFrame) -> DataFrame:
+    """Least score in scope, greatest out of scope, and whether a threshold parts them, from score and in_scope."""
+    ends = scores.agg(F.min(F.when(F.col("in_scope"), F.col("score"))).alias("in_least"), F.max(F.when(~F.col("in_scope"), F.col("score"))).alias("out_most"))
+    return ends.withColumn("separable", F.col("in_least") > F.col("out_most"))

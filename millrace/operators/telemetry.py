@@ -1,7 +1,7 @@
 """Stage durations and exact nearest-rank percentiles without collecting a group.
 
 Defined results: nulls are no samples; a stage marked twice keeps its last duration; the
-rank is round(f * (n - 1)) with halves to even, or its floor where asked for.
+rank is round(f * (n - 1)) with halves to even, or its floor, or the floor of f * n, where asked for.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions import text
+from millrace.functions import fixed, text
 from millrace.runtime import materialize, small
 
 
@@ -27,7 +27,7 @@ def stage_durations(df: DataFrame, key: str, marks: str) -> DataFrame:
 BUCKETS = 4096
 
 
-def percentiles(df: DataFrame, group: Sequence[str], value: str, shares: dict[str, float], floor: bool = False) -> DataFrame:
+def percentiles(df: DataFrame, group: Sequence[str], value: str, shares: dict[str, float], floor: bool = False, upper: bool = False) -> DataFrame:
     """Exact percentiles per group. Values are counted in BUCKETS buckets over the range of their group
     first; only the buckets that hold a wanted rank are ranked, in windows per bucket, so no group is
     sorted in one task. Ranges are cut on a logarithmic scale around the median's order of magnitude, so
@@ -42,7 +42,7 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str, shares: dict[st
     counted = rows.groupBy(*group, "bucket").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     by = W.partitionBy(*group)
     counted = counted.withColumns({"total": F.sum("n").over(by), "before": F.coalesce(F.sum("n").over(by.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
-    place = lambda f: F.floor(f * (F.col("total") - 1)) if floor else F.bround(f * (F.col("total") - 1), 0)
+    place = lambda f: F.floor(f * F.col("total")) if upper else F.floor(f * (F.col("total") - 1)) if floor else F.bround(f * (F.col("total") - 1), 0)
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(f).cast("bigint").alias("at")) for name, f in shares.items()]))
     asked = counted.select(*group, "bucket", "before", "n", wanted.alias("w")).where("w.at >= before AND w.at < before + n")
     asked = materialize(asked.select(*group, "bucket", F.col("w.name").alias("name"), (F.col("w.at") - F.col("before") + 1).alias("place")))
@@ -63,6 +63,13 @@ def _same(left: DataFrame, own: Sequence[str], other: Sequence[str]):
     return condition
 
 
+def live(traces: DataFrame, stages: Sequence[str] = fixed.LIVE_STAGES) -> DataFrame:
+    """trace_id, asr_provider and ms, the sum of the live stages; traces without any are left out."""
+    own = F.map_filter("stages", lambda k, v: k.isin(*stages) & v.isNotNull())
+    total = F.round(F.aggregate(F.map_values(own), F.lit(0.0), lambda a, b: a + b), 6)
+    return traces.where(F.size(own) > 0).select("trace_id", "asr_provider", total.alias("ms"))
+
+
 def latency_summary(traces: DataFrame, stages: str = "stages", group: Sequence[str] = ()) -> DataFrame:
     """p50, p95, min, max and samples of every stage."""
     each = traces.select(*group, F.explode(stages).alias("stage", "ms"))

@@ -291,6 +291,34 @@ def build_stats(spark, d):
     return records.build_stats(table(spark, d, "records"))
 
 
+@_query(
+    f"""WITH w AS (SELECT kind, len({_words('content')}) AS v FROM records WHERE content IS NOT NULL)
+    SELECT kind, list_sort(list(v))[CAST(floor(count(v) / 2) AS BIGINT) + 1] AS upper_median, min(v) AS least, max(v) AS most, count(*) AS records FROM w GROUP BY kind"""
+)
+def median_words(spark, d):
+    """The value at place n // 2 of the sorted word counts: a floor of one half of n places, n - 1 of which lie before the last."""
+    counted = table(spark, d, "records").where("content IS NOT NULL").select("kind", text.word_count(F.col("content")).alias("v"))
+    found = telemetry.percentiles(counted, ["kind"], "v", {"upper_median": 0.5}, upper=True)
+    return found.select("kind", "upper_median", F.col("min").alias("least"), F.col("max").alias("most"), F.col("samples").alias("records"))
+
+
+@_query("SELECT lower(trim(title)) AS title, count(*) AS records, count(DISTINCT doc_id) AS documents FROM records WHERE trim(title) <> '' GROUP BY 1 HAVING count(*) > 1")
+def repeated_titles(spark, d):
+    return records.repeated_titles(table(spark, d, "records"))
+
+
+@_query(
+    f"""WITH r AS (SELECT record_id, doc_id, ordinal, list_distinct(list_filter(string_split({_canonical('content')}, ' '), lambda w: w <> '')) AS w FROM records WHERE doc_id IS NOT NULL)
+    SELECT a.record_id, b.record_id AS next_id, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE round(CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) END AS jaccard
+    FROM r a JOIN r b ON b.doc_id = a.doc_id AND b.ordinal = a.ordinal + 1"""
+)
+def neighbour_overlap(spark, d):
+    """Share of words that a record has in common with the record after it in its document."""
+    rows = table(spark, d, "records").where("doc_id IS NOT NULL").select("record_id", "doc_id", "ordinal", text.shingles(F.col("content"), 1).alias("w"))
+    after = rows.select(F.col("record_id").alias("next_id"), "doc_id", (F.col("ordinal") - 1).alias("ordinal"), F.col("w").alias("v"))
+    return rows.join(after, ["doc_id", "ordinal"]).select("record_id", "next_id", F.round(text.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
+
+
 @_query("SELECT category, kind, count(*) AS records FROM records GROUP BY ALL")
 def category_counts(spark, d):
     return table(spark, d, "records").groupBy("category", "kind").agg(F.count("*").alias("records"))
@@ -478,11 +506,36 @@ def search_citations(spark, d):
     count(CASE WHEN in_scope AND score < pct / 100 THEN 1 END) + count(CASE WHEN NOT in_scope AND score >= pct / 100 THEN 1 END) AS errors FROM b, t GROUP BY pct"""
 )
 def threshold_sweep(spark, d):
+    return retrieval.threshold_sweep(_scored(spark, d))
+
+
+def _scored(spark, d):
+    """Best similarity of each query to another row, and whether that row has the query's label."""
     labels = table(spark, d, "embeddings").select("vec_id", "label")
     best = _dense(spark, d, 2).where("id <> query_id")
     best = best.groupBy("query_id").agg(F.max_by(F.struct("id", "similarity"), F.struct("similarity", -F.col("id"))).alias("b")).select("query_id", F.col("b.id").alias("id"), F.col("b.similarity").alias("score"))
     joined = best.join(labels.withColumnsRenamed({"vec_id": "query_id", "label": "ql"}), "query_id").join(labels.withColumnsRenamed({"vec_id": "id", "label": "vl"}), "id")
-    return retrieval.threshold_sweep(joined.select("score", (F.col("ql") == F.col("vl")).alias("in_scope")))
+    return joined.select("score", (F.col("ql") == F.col("vl")).alias("in_scope"))
+
+
+_SWEEP = f"""{_PAIRS}, b AS (SELECT query_id, max(similarity) AS score, arg_max(vl = ql, (similarity, -id)) AS in_scope FROM p WHERE id <> query_id GROUP BY query_id)"""
+
+
+@_query(
+    f"""{_SWEEP}, t AS (SELECT unnest(range(40, 85, 2)) AS pct),
+    w AS (SELECT pct / 100 AS threshold, count(CASE WHEN in_scope AND score < pct / 100 THEN 1 END) AS false_refusals, count(CASE WHEN NOT in_scope AND score >= pct / 100 THEN 1 END) AS false_answers FROM b, t GROUP BY pct)
+    SELECT threshold, false_refusals, false_answers, false_refusals + false_answers AS errors FROM w ORDER BY errors, threshold LIMIT 1"""
+)
+def best_threshold(spark, d):
+    return retrieval.best_threshold(retrieval.threshold_sweep(_scored(spark, d)))
+
+
+@_query(
+    f"""{_SWEEP} SELECT round(min(CASE WHEN in_scope THEN score END), 6) AS in_least, round(max(CASE WHEN NOT in_scope THEN score END), 6) AS out_most,
+    min(CASE WHEN in_scope THEN score END) > max(CASE WHEN NOT in_scope THEN score END) AS separable FROM b"""
+)
+def separability(spark, d):
+    return retrieval.separability(_scored(spark, d)).withColumns({"in_least": F.round("in_least", 6), "out_most": F.round("out_most", 6)})
 
 
 _AT = lambda f: f"list_sort(list(score))[CAST(floor({f} * (count(score) - 1)) AS BIGINT) + 1]"
@@ -531,6 +584,21 @@ def provider_latency(spark, d):
     return telemetry.percentiles(once, ["asr_provider"], "total_ms", {"p50": 0.5, "p95": 0.95})
 
 
+_LIVE = ", ".join(map(_q, fixed.LIVE_STAGES))
+
+
+@_query(
+    f"""WITH t AS (SELECT DISTINCT ON (trace_id) trace_id, asr_provider, stages FROM traces ORDER BY trace_id),
+    e AS (SELECT trace_id, asr_provider, unnest(map_entries(stages)) AS e FROM t),
+    l AS (SELECT trace_id, asr_provider, round(sum(e.value), 6) AS ms FROM e WHERE e.key IN ({_LIVE}) AND e.value IS NOT NULL GROUP BY 1, 2)
+    SELECT asr_provider, {_RANK(0.5)} AS p50, {_RANK(0.95)} AS p95, min(ms) AS min, max(ms) AS max, count(*) AS samples FROM l GROUP BY 1"""
+)
+def live_latency(spark, d):
+    """Time of a turn without the stages of the test harness."""
+    once = table(spark, d, "traces").select("trace_id", "asr_provider", "stages").dropDuplicates(["trace_id"])
+    return telemetry.percentiles(telemetry.live(once), ["asr_provider"], "ms", {"p50": 0.5, "p95": 0.95})
+
+
 _TURNS = "t AS (SELECT DISTINCT ON (turn_id) * FROM call_turns ORDER BY turn_id)"
 
 

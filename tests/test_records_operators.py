@@ -200,3 +200,15 @@ def test_loose_json(spark):
     cases = [('{"a": 1}', '{"a": 1}'), ('```json\n{"a": 1}\n```', '{"a": 1}'), ('Here: {"a": {"b": 2}} done', '{"a": {"b": 2}}'), ("no json", None), (None, None), ("{broken", None)]
     df = spark.createDataFrame([(a,) for a, _ in cases], "r string").select(text.loose_json(F.col("r")).alias("j"))
     assert [x["j"] for x in df.collect()] == [b for _, b in cases]
+
+
+def test_signatures_and_terms(spark):
+    from millrace.functions import text
+
+    a, b = [f"w{k}" for k in range(60)], [f"w{k}" for k in range(20, 80)]
+    df = spark.createDataFrame([(a, b), (a, a), (a, [])], "a array<string>, b array<string>")
+    same = F.size(F.filter(F.zip_with(text.minhash(F.col("a"), 256), text.minhash(F.col("b"), 256), lambda x, y: x == y), lambda e: e))
+    got = df.select(text.jaccard(F.col("a"), F.col("b")).alias("j"), (same / 256).alias("m")).collect()
+    assert [x["j"] for x in got] == [0.5, 1.0, 0.0] and abs(got[0]["m"] - 0.5) < 0.12 and got[1]["m"] == 1.0
+    kept = spark.createDataFrame([("the Grace period", ["grace", "copay"])], "h string, t array<string>").select(evaluation.terms_preserved(F.col("h"), F.col("t")).alias("k")).first()["k"]
+    assert kept == ["grace"]
