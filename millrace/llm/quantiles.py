@@ -3,7 +3,7 @@
 A summary holds sorted values, each with the interval of ranks it may have. A task makes
 one summary per group, keeps only the values that the permitted uncertainty needs, and
 ships it. Summaries of a group are merged in levels of FAN tasks each (rank bounds add up)
-and compressed again at every level, so that no task holds more than FAN summaries of a
+and compressed again at every level, so that no task holds a list of all summaries of a
 group, however many tasks there were; the permitted uncertainty grows from level to level.
 The days are merged to the whole period from their daily summaries. The rank intervals are
 carried along, so that each result states the error it may have.
@@ -128,13 +128,13 @@ def summarize(df: DataFrame, groups: dict[str, Column], values: dict[str, Column
             yield flush()
 
     schema = ", ".join([*(f"{k} {t}" for k, t in zip(keys, kinds.values())), "metric string", "summary binary"])
-    tasks = picked.mapInArrow(local, schema).withColumn("_part", F.spark_partition_id())
-    parts = picked.rdd.getNumPartitions()  # a bound: the plan's partitions, which can only be coalesced when it runs
-    levels = max(1, math.ceil(math.log(max(parts, 2), FAN)))
-    out = tasks
+    out = picked.mapInArrow(local, schema).withColumn("_part", F.spark_partition_id())
+    # the shuffle's partitions stand for the number of tasks; should a scan have more, the lists of the first level are longer
+    levels = max(1, math.ceil(math.log(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2), FAN)))
     for level in range(1, levels + 1):
         by = [*keys, "metric"] if level == levels else [*keys, "metric", "_part"]
-        out = merge(out.withColumn("_part", F.floor(F.col("_part") / FAN).cast("int")), by, error / 8 + 3 * error / 8 * level / levels)
+        dealt = out.withColumn("_part", F.pmod("_part", F.lit(FAN ** (levels - level)))) if level < levels else out
+        out = merge(dealt, by, error / 8 + 3 * error / 8 * level / levels)
     for k, name in zip(keys, names):
         out = out.withColumnRenamed(k, name)
     return out
