@@ -147,7 +147,7 @@ def test_bm25_shuffles_no_row_for_each_query_and_document(spark):
     assert len(got) == 100 * 25 and shuffled < 100 * 2000 / 4
 
 
-@pytest.mark.parametrize("name", ["search_citations", "hybrid_search"])
+@pytest.mark.parametrize("name", ["search_citations", "hybrid_search", "search_answers"])
 def test_search_shuffles_no_row_for_each_query_and_document(spark, name):
     """They failed by disk as retrieval_verdicts did; sf0.1 has 200 queries and 10,000 documents."""
     got, shuffled = _shuffled(spark, lambda: catalog.queries()[name](spark, "/root/testdata/sf0.1").collect())
